@@ -291,8 +291,8 @@ def _(v):
     return graph.inventory(v.gt_vertex, v.gt_edge)
 
 
-@check("g22_sample_paths", """SELECT sheet_id, src, via, dst FROM (SELECT sheet_id, src, arg_min(via,(coalesce(via,-1),dst)) AS via, arg_min(dst,(coalesce(via,-1),dst)) AS dst FROM (
- SELECT h.sheet_id, h.a AS src, NULL::BIGINT AS via, h.b AS dst FROM hp h WHERE NOT da AND NOT db UNION ALL SELECT h.sheet_id, h.a, h.b, k.b FROM hp h JOIN hp k ON k.sheet_id=h.sheet_id AND k.a=h.b AND k.b<>h.a WHERE NOT h.da AND h.db AND NOT k.db) q GROUP BY 1,2) z ORDER BY md5(concat_ws('_',sheet_id,src)), sheet_id, src LIMIT 3""",
+@check("g22_sample_paths", """SELECT sheet_id, src, via, dst FROM (SELECT sheet_id, src, b.via AS via, b.dst AS dst FROM (SELECT sheet_id, src, min({'k':coalesce(via,-1),'dst':dst,'via':via}) AS b FROM (
+ SELECT h.sheet_id, h.a AS src, NULL::BIGINT AS via, h.b AS dst FROM hp h WHERE NOT da AND NOT db UNION ALL SELECT h.sheet_id, h.a, h.b, k.b FROM hp h JOIN hp k ON k.sheet_id=h.sheet_id AND k.a=h.b AND k.b<>h.a WHERE NOT h.da AND h.db AND NOT k.db) q GROUP BY 1,2) y) z ORDER BY md5(concat_ws('_',sheet_id,src)), sheet_id, src LIMIT 3""",
        hp="SELECT e.sheet_id, e.a, e.b, x.label IN ('connector','crossing','background') AS da, y.label IN ('connector','crossing','background') AS db FROM (SELECT sheet_id, u AS a, v AS b FROM gt_edge UNION ALL SELECT sheet_id, v, u FROM gt_edge) e JOIN gt_vertex x ON x.sheet_id=e.sheet_id AND x.node_id=e.a JOIN gt_vertex y ON y.sheet_id=e.sheet_id AND y.node_id=e.b")
 def _(v):
     return graph.sample_paths(v.gt_vertex, v.gt_edge, ["connector", "crossing", "background"])

@@ -120,9 +120,10 @@ def cluster_centres(clusters: DataFrame, keys=SHEET) -> DataFrame:
 
 def with_length(branches: DataFrame) -> DataFrame:
     """Traced length: the sum of steps along the polyline."""
-    step = F.aggregate(F.sequence(F.lit(1), F.size("coords") - 1), F.lit(0.0), lambda s, i: s + F.sqrt(
-        g.sq(F.col("coords")[i]["r"] - F.col("coords")[i - 1]["r"]) + g.sq(F.col("coords")[i]["c"] - F.col("coords")[i - 1]["c"])))
-    return branches.withColumn("length_px", F.when(F.size("coords") > 1, step).otherwise(0.0))
+    n = F.size("coords")
+    step = lambda p, q: F.sqrt((g.sq(p["r"] - q["r"]) + g.sq(p["c"] - q["c"])).cast("double"))
+    steps = F.zip_with(F.slice("coords", 2, F.greatest(n - 1, F.lit(0))), F.slice("coords", 1, F.greatest(n - 1, F.lit(0))), step)
+    return branches.withColumn("length_px", F.aggregate(steps, F.lit(0.0), lambda s, d: s + d))
 
 
 def min_length(branches: DataFrame, least: float = 15.0) -> DataFrame:
