@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["boxes", "matching", "scoring", "tiles", "reading", "graphs", "inkwork", "answers"]
+AREAS = ["boxes", "matching", "scoring", "tiles", "reading", "graphs", "inkwork", "answers", "exchange"]
 
 
 def _collect(what: str) -> dict:

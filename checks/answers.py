@@ -111,7 +111,7 @@ _T = __import__("sheetgraph.functions.text", fromlist=["x"])
 JUDGE = dict(vg=f"SELECT turn_id, regexp_extract(answer, '{_T.VERDICT_PATTERN}') AS word FROM turns WHERE regexp_matches(question, '{_T.JUDGEMENT_PATTERN}')")
 ALLV = dict(IDS, **LIST, **FILT, **JUDGE,
     vio="SELECT turn_id, 'uncited_id' AS kind, id AS detail FROM unc UNION ALL SELECT turn_id, 'ungrounded_query', name||'('||arg||'='||value||')' FROM ung UNION ALL SELECT turn_id, 'incomplete_filter', exp_cls_name FROM inc UNION ALL SELECT turn_id, 'verdict', lower(word) FROM vg WHERE word<>''",
-    ver="SELECT t.turn_id, CAST(count_if(kind='uncited_id') AS BIGINT) AS uncited_id, CAST(count_if(kind='ungrounded_query') AS BIGINT) AS ungrounded_query, CAST(count_if(kind='incomplete_filter') AS BIGINT) AS incomplete_filter, CAST(count_if(kind='verdict') AS BIGINT) AS verdict, CAST(count(kind)=0 AS INT) AS ok FROM turns t LEFT JOIN vio v ON v.turn_id=t.turn_id GROUP BY 1")
+    ver="SELECT t.turn_id, CAST(coalesce(count_if(kind='uncited_id'),0) AS BIGINT) AS uncited_id, CAST(coalesce(count_if(kind='ungrounded_query'),0) AS BIGINT) AS ungrounded_query, CAST(coalesce(count_if(kind='incomplete_filter'),0) AS BIGINT) AS incomplete_filter, CAST(coalesce(count_if(kind='verdict'),0) AS BIGINT) AS verdict, CAST(count(kind)=0 AS INT) AS ok FROM turns t LEFT JOIN vio v ON v.turn_id=t.turn_id GROUP BY 1")
 
 
 @check("q7_uncited_ids", "SELECT turn_id, id FROM unc", **IDS)

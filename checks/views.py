@@ -120,7 +120,7 @@ def view(spark, sf_dir: str, name: str):
     deps = closure(text, 0)
     with_ = "WITH " + ", ".join(f"{n} AS ({b})" for n, b in deps) + " " if deps else ""
     frames = {}
-    body = with_ + text
+    body = (with_ + text).replace("{", "{{").replace("}", "}}")
     for t in TABLES:
         if t in _names(body):
             body = re.sub(rf"\b{t}\b", "{" + t + "}", body)
