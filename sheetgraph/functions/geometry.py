@@ -13,6 +13,11 @@ def as_col(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def n_rows() -> Column:
+    """Number of rows, as an aggregate."""
+    return F.count(F.lit(1))
+
+
 def cx(p: str = "") -> Column:
     return (c(p + "x1") + c(p + "x2")) / 2
 
@@ -37,10 +42,6 @@ def dist2(ax, ay, bx, by) -> Column:
     return sq(ax - bx) + sq(ay - by)
 
 
-def min_of(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
 # --- detection geometry -----------------------------------------------------------------------------------------
 
 def with_box(df, prefix: str = ""):

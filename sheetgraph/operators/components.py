@@ -17,22 +17,25 @@ def components(vertices: DataFrame, edges: DataFrame, keys=SHEET, id="node_id",
     keys = list(keys)
     e = edges.select(*keys, F.col(u).alias("a"), F.col(v).alias("b")).filter("a <> b")
     live = staged(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    hops = []
+    label = None
     while has_rows(live):
         up = staged(live.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         for _ in range(2):
             nxt = up.select(*keys, F.col("a").alias("p"), F.col("p").alias("pp"))
             up = up.join(nxt, [*keys, "p"]).select(*keys, "a", F.col("pp").alias("p"))
         up = staged(up)
-        hops.append(up)
+        if label is None:
+            label = up
+        else:
+            step = up.select(*keys, F.col("a").alias("p"), F.col("p").alias("q"))
+            label = staged(label.join(step, [*keys, "p"], "left").select(*keys, "a", F.coalesce("q", "p").alias("p")))
         at_a = live.join(up, [*keys, "a"]).select(*keys, F.col("p").alias("a"), "b")
-        at_b = at_a.join(up.withColumnsRenamed({"a": "b", "p": "q"}), [*keys, "b"]).select(*keys, "a", F.col("q").alias("b"))
+        at_b = at_a.join(up.select(*keys, F.col("a").alias("b"), F.col("p").alias("q")), [*keys, "b"]).select(*keys, "a", F.col("q").alias("b"))
         live = staged(at_b.filter("a <> b").distinct())
-    out = vertices.select(*keys, F.col(id).alias("__v"), F.col(id).alias("comp"))
-    for up in hops:
-        step = up.select(*keys, F.col("a").alias("comp"), F.col("p").alias("__p"))
-        out = out.join(step, [*keys, "comp"], "left").select(*keys, "__v", F.coalesce("__p", "comp").alias("comp"))
-    return out.withColumnRenamed("__v", id)
+    out = vertices.select(*keys, F.col(id).alias("a"))
+    if label is None:
+        return out.select(*keys, F.col("a").alias(id), F.col("a").alias("comp"))
+    return out.join(label, [*keys, "a"], "left").select(*keys, F.col("a").alias(id), F.coalesce("p", "a").alias("comp"))
 
 
 def summary(comp: DataFrame, keys=SHEET, id="node_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g
 from sheetgraph.operators.cells import over_cells, points_in_reach
@@ -11,8 +12,6 @@ from sheetgraph.operators.components import components
 from sheetgraph.operators.stage import has_rows, staged
 from sheetgraph.operators.suppress import SHEET
 
-N = F.count(F.lit(1))
-
 
 def ordered(e: DataFrame, u="u", v="v") -> DataFrame:
     """Edges with the smaller end first."""
@@ -222,7 +221,7 @@ def flow(assigned: DataFrame, tips: DataFrame | None, keys=SHEET) -> DataFrame:
     """Direction per edge: the end nearer to the arrow tip is downstream, ties to u; the last arrow by id decides."""
     keys = list(keys)
     if tips is None:
-        return assigned.groupBy(*keys, "u", "v").agg(N.alias("arrows")).select(*keys, "u", "v", F.lit(True).alias("has_arrow"))
+        return assigned.groupBy(*keys, "u", "v").agg(n_rows().alias("arrows")).select(*keys, "u", "v", F.lit(True).alias("has_arrow"))
     d = assigned.join(tips.select(*keys, "arrow_id", "tip_x", "tip_y"), [*keys, "arrow_id"])
     du = g.dist2(F.col("tip_x"), F.col("tip_y"), F.col("ux"), F.col("uy"))
     dv = g.dist2(F.col("tip_x"), F.col("tip_y"), F.col("vx"), F.col("vy"))
@@ -234,8 +233,8 @@ def flow(assigned: DataFrame, tips: DataFrame | None, keys=SHEET) -> DataFrame:
 # --- summaries --------------------------------------------------------------------------------------------------
 
 def inventory(vertices: DataFrame, edges: DataFrame, label="label", edge_label="edge_label") -> DataFrame:
-    v = vertices.groupBy(F.lit("node").alias("what"), F.col(label).alias("name")).agg(N.alias("n"))
-    return v.unionByName(edges.groupBy(F.lit("edge").alias("what"), F.coalesce(edge_label, F.lit("(none)")).alias("name")).agg(N.alias("n")))
+    v = vertices.groupBy(F.lit("node").alias("what"), F.col(label).alias("name")).agg(n_rows().alias("n"))
+    return v.unionByName(edges.groupBy(F.lit("edge").alias("what"), F.coalesce(edge_label, F.lit("(none)")).alias("name")).agg(n_rows().alias("n")))
 
 
 def sample_paths(vertices: DataFrame, edges: DataFrame, dropped, n: int = 3, keys=SHEET, label="label", id="node_id") -> DataFrame:
@@ -255,4 +254,4 @@ def sample_paths(vertices: DataFrame, edges: DataFrame, dropped, n: int = 3, key
 def traced_share(edges: DataFrame, keys=SHEET) -> DataFrame:
     """Edges drawn along a traced route against those drawn as a straight, inferred chord."""
     t = F.coalesce(F.size("path") >= 2, F.lit(False))
-    return edges.groupBy(*keys).agg(N.alias("n_edges"), F.count_if(t).alias("n_traced"), F.avg((~t).cast("double")).alias("inferred_share"))
+    return edges.groupBy(*keys).agg(n_rows().alias("n_edges"), F.count_if(t).alias("n_traced"), F.avg((~t).cast("double")).alias("inferred_share"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import text
 from sheetgraph.operators import lookup
 from sheetgraph.operators.suppress import SHEET
 
-N = F.count(F.lit(1))
 LISTING = "instrument_tags array<struct<function:string,loop_number:string,raw_text:string>>, off_page_connectors array<string>"
 QUERYING = ["find_nodes", "count_nodes"]
 
@@ -112,7 +112,7 @@ def refusal_facts(turns: DataFrame, nodes: DataFrame, edges: DataFrame, keys=SHE
     near = lookup.get_neighbors(nodes, edges, ids, keys)
     near = near.select("turn_id", F.lit("neighbour").alias("fact"), "id", F.coalesce("neighbor_id", "error").alias("detail"), F.col("provenance").alias("note"))
     j = t.filter("intent = 'judgement'").select("turn_id", *keys, F.contains(F.lower("question"), F.lit("instrument")).alias("about"))
-    per = nodes.groupBy(*keys, "node_type").agg(N.alias("n"))
+    per = nodes.groupBy(*keys, "node_type").agg(n_rows().alias("n"))
     counts = j.join(per, keys).select("turn_id", F.lit("count").alias("fact"), F.col("node_type").alias("id"), F.col("n").cast("string").alias("detail"), F.lit(None).cast("string").alias("note"))
     tags = j.filter("about").join(lookup.list_tags(nodes, keys).filter("kind = 'instrument_tag'"), keys)
     tags = tags.select("turn_id", F.lit("tag").alias("fact"), "id", F.col("raw_text").alias("detail"), F.col("tag_function").alias("note"))
@@ -137,7 +137,7 @@ def score(questions: DataFrame, calls: DataFrame, verdicts: DataFrame) -> DataFr
 def report(scored: DataFrame, calls: DataFrame) -> DataFrame:
     """Pass totals overall, by kind and by every tool a turn used, with the gates (refusals and not_found 100%, all 90%)."""
     used = calls.select("turn_id", F.col("name").alias("used")).distinct()
-    tot = lambda d, by, name: d.groupBy(*by).agg(N.alias("n"), F.sum("passed").alias("n_passed")).select(F.lit(name).alias("axis"), (F.col(by[0]) if by else F.lit("all")).alias("value"), "n", "n_passed")
+    tot = lambda d, by, name: d.groupBy(*by).agg(n_rows().alias("n"), F.sum("passed").alias("n_passed")).select(F.lit(name).alias("axis"), (F.col(by[0]) if by else F.lit("all")).alias("value"), "n", "n_passed")
     out = tot(scored, [], "overall").unionByName(tot(scored, ["kind"], "kind")).unionByName(tot(scored.join(used, "turn_id"), ["used"], "tool"))
     share = F.col("n_passed") / F.col("n")
     gate = F.when(F.col("axis") == "overall", share >= 0.9).when((F.col("axis") == "kind") & F.col("value").isin("not_found", "refusal_required"), share == 1)

@@ -10,15 +10,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g, polyline
 from sheetgraph.operators.cells import boxes_meeting, filter_points, points_in_reach, prefixed
 from sheetgraph.operators.components import components
 from sheetgraph.operators.suppress import SHEET
 
-N = F.count(F.lit(1))
 DIL = ["dx1", "dy1", "dx2", "dy2"]
-X, Y = F.col("x"), F.col("y")
 
 
 def cols(names, p="") -> list[Column]:
@@ -49,7 +48,7 @@ def drop_frame(ink: DataFrame, sheets: DataFrame, search_px: int = 80, share: fl
     for axis, length, across in (("y", "height", "width"), ("x", "width", "height")):
         at, size = F.col(axis), F.col(length)
         edge = d.filter((at < F.col("band")) | (at >= size - F.col("band")))
-        lines = edge.groupBy(*keys, axis, "band", length, across).agg(N.alias("n")).filter(F.col("n") >= share * F.col(across))
+        lines = edge.groupBy(*keys, axis, "band", length, across).agg(n_rows().alias("n")).filter(F.col("n") >= share * F.col(across))
         low = at < F.col("band")
         lo = F.when(low, F.greatest(F.lit(0), at - margin)).otherwise(F.greatest(size - F.col("band"), at - margin))
         hi = F.when(low, F.least(F.col("band"), at + margin + 1)).otherwise(F.least(size, at + margin + 1))
@@ -60,7 +59,7 @@ def drop_frame(ink: DataFrame, sheets: DataFrame, search_px: int = 80, share: fl
 
 def modal_border(px: DataFrame, width: int, height: int, margin: int = 30, keys=SHEET) -> DataFrame:
     """Most frequent grey in the border strip, the darkest on ties; corner pixels count for both of their strips."""
-    hits = sum(((c).cast("int") for c in (Y < margin, Y >= height - margin, X < margin)), (X >= width - margin).cast("int"))
+    hits = sum(((c).cast("int") for c in (F.col("y") < margin, F.col("y") >= height - margin, F.col("x") < margin)), (F.col("x") >= width - margin).cast("int"))
     d = px.withColumn("k", hits).filter("k > 0").groupBy(*keys, "grey").agg(F.sum("k").alias("k"))
     return d.groupBy(*keys).agg(F.max_by("grey", F.struct("k", -F.col("grey"))).alias("background"))
 
@@ -68,8 +67,8 @@ def modal_border(px: DataFrame, width: int, height: int, margin: int = 30, keys=
 def erase(ink: DataFrame, nodes: DataFrame, keys=SHEET) -> DataFrame:
     """Ink outside every dilated box (low side in, high side out)."""
     b = nodes.select(*keys, *DIL)
-    hit = (X >= F.col("dx1")) & (X < F.col("dx2")) & (Y >= F.col("dy1")) & (Y < F.col("dy2"))
-    return filter_points(ink, X, Y, b, cols(DIL), list(keys), hit, "left_anti")
+    hit = (F.col("x") >= F.col("dx1")) & (F.col("x") < F.col("dx2")) & (F.col("y") >= F.col("dy1")) & (F.col("y") < F.col("dy2"))
+    return filter_points(ink, F.col("x"), F.col("y"), b, cols(DIL), list(keys), hit, "left_anti")
 
 
 # --- junction pixels --------------------------------------------------------------------------------------------
@@ -77,7 +76,7 @@ def erase(ink: DataFrame, nodes: DataFrame, keys=SHEET) -> DataFrame:
 def neighbour_counts(ink: DataFrame, keys=SHEET) -> DataFrame:
     """Ink pixels with the number of ink pixels among their eight neighbours, in one aggregation."""
     around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    marks = F.array(*[F.struct((X + dx).alias("x"), (Y + dy).alias("y"), F.lit(int(dx == 0 and dy == 0)).alias("own")) for dx, dy in around])
+    marks = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(int(dx == 0 and dy == 0)).alias("own")) for dx, dy in around])
     d = ink.select(*keys, F.explode(marks).alias("m")).select(*keys, "m.*")
     return d.groupBy(*keys, "x", "y").agg(F.max("own").alias("own"), F.sum(1 - F.col("own")).alias("neighbours")).filter("own = 1").drop("own")
 
@@ -103,7 +102,7 @@ def cluster(px: DataFrame, r: int = 3, keys=SHEET) -> DataFrame:
     keys = list(keys)
     reach = touching_offsets(r)
     far = max(reach)
-    d = px.select(*keys, "x", "y", (Y * 1000000 + X).alias("pid"))
+    d = px.select(*keys, "x", "y", (F.col("y") * 1000000 + F.col("x")).alias("pid"))
     a, b = prefixed(d, "a_", keys), prefixed(d, "b_", keys)
     close = F.abs(F.col("a_x") - F.col("b_x")) <= P.lookup(reach, F.abs(F.col("a_y") - F.col("b_y")), F.lit(-1))
     box = [F.col("a_x") - far, F.col("a_y") - far, F.col("a_x") + far, F.col("a_y") + far]
@@ -113,7 +112,7 @@ def cluster(px: DataFrame, r: int = 3, keys=SHEET) -> DataFrame:
 
 
 def cluster_centres(clusters: DataFrame, keys=SHEET) -> DataFrame:
-    return clusters.groupBy(*keys, "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), N.alias("n_pixels"))
+    return clusters.groupBy(*keys, "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), n_rows().alias("n_pixels"))
 
 
 # --- branch ends ------------------------------------------------------------------------------------------------
@@ -150,7 +149,7 @@ def bind(branches: DataFrame, nodes: DataFrame, img_w: int, img_h: int, extra: i
     hit = points_in_reach(n, zone, ends, px, py, keys, inside)
     ex, ey = F.greatest(F.col("dx1") - px, F.lit(0), px - F.col("dx2")), F.greatest(F.col("dy1") - py, F.lit(0), py - F.col("dy2"))
     rank = F.struct((ex * ex + ey * ey).alias("e"), g.dist2(px, py, F.col("ncx"), F.col("ncy")).alias("c"), "bound_node_id")
-    best = hit.groupBy(*keys, *END).agg(F.min(rank).alias("b"), N.alias("k")).select(*keys, *END, "b.bound_node_id", (F.col("k") > 1).alias("contested"))
+    best = hit.groupBy(*keys, *END).agg(F.min(rank).alias("b"), n_rows().alias("k")).select(*keys, *END, "b.bound_node_id", (F.col("k") > 1).alias("contested"))
     out = ends.join(best, [*keys, *END], "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
     return out.withColumn("is_off_page", F.col("bound_node_id").isNull() & g.near_border(px, py, img_w, img_h, border))
 
@@ -245,9 +244,9 @@ def covered(ink: DataFrame, nodes: DataFrame, box=DIL, keys=SHEET) -> DataFrame:
     keys = list(keys)
     b = nodes.select(*keys, F.col("node_id").alias("cov"), *[F.col(c).cast("int").alias("m" + c) for c in box])
     m = cols(["m" + c for c in box])
-    inside = (X >= m[0]) & (X < m[2]) & (Y >= m[1]) & (Y < m[3])
-    hit = points_in_reach(b, m, ink, X, Y, keys, inside)
-    per = hit.groupBy(*keys, "x", "y").agg(N.alias("n_cov"), F.min("cov").alias("cov_lo"), F.max("cov").alias("cov_hi"))
+    inside = (F.col("x") >= m[0]) & (F.col("x") < m[2]) & (F.col("y") >= m[1]) & (F.col("y") < m[3])
+    hit = points_in_reach(b, m, ink, F.col("x"), F.col("y"), keys, inside)
+    per = hit.groupBy(*keys, "x", "y").agg(n_rows().alias("n_cov"), F.min("cov").alias("cov_lo"), F.max("cov").alias("cov_hi"))
     return ink.join(per, [*keys, "x", "y"], "left")
 
 
@@ -267,9 +266,9 @@ def pair_ink(pairs: DataFrame, ink: DataFrame, img_w: int, img_h: int, margin: C
     lo = lambda c: F.greatest(F.lit(0), F.least("a_" + c, "b_" + c).cast("int") - margin)
     hi = lambda c, m: F.least(F.lit(m), F.greatest("a_" + c, "b_" + c).cast("int") + margin)
     p = pairs.withColumns({"rx1": lo("x1"), "ry1": lo("y1"), "rx2": hi("x2", img_w), "ry2": hi("y2", img_h)})
-    own = lambda n: (X >= i(n + "_x1")) & (X < i(n + "_x2")) & (Y >= i(n + "_y1")) & (Y < i(n + "_y2"))
-    inside = (X >= F.col("rx1")) & (X < F.col("rx2")) & (Y >= F.col("ry1")) & (Y < F.col("ry2"))
-    return points_in_reach(p, cols(["rx1", "ry1", "rx2", "ry2"]), ink, X, Y, list(keys), inside & ~own("a") & ~own("b"))
+    own = lambda n: (F.col("x") >= i(n + "_x1")) & (F.col("x") < i(n + "_x2")) & (F.col("y") >= i(n + "_y1")) & (F.col("y") < i(n + "_y2"))
+    inside = (F.col("x") >= F.col("rx1")) & (F.col("x") < F.col("rx2")) & (F.col("y") >= F.col("ry1")) & (F.col("y") < F.col("ry2"))
+    return points_in_reach(p, cols(["rx1", "ry1", "rx2", "ry2"]), ink, F.col("x"), F.col("y"), list(keys), inside & ~own("a") & ~own("b"))
 
 
 def corridor(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img_h: int, half: float = 10.0, mask_third: bool = True,
@@ -288,7 +287,7 @@ def corridor(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     size = F.sqrt(dx * dx + dy * dy)
     d = d.withColumns({"seg": size}).withColumns({"ux": F.when(size >= 1, dx / size).otherwise(1.0), "uy": F.when(size >= 1, dy / size).otherwise(0.0)})
-    ox, oy = X - F.col("a_cx"), Y - F.col("a_cy")
+    ox, oy = F.col("x") - F.col("a_cx"), F.col("y") - F.col("a_cy")
     d = d.withColumns({"along": ox * F.col("ux") + oy * F.col("uy"), "off": F.abs(oy * F.col("ux") - ox * F.col("uy"))})
     core = F.col("off") <= half
     # one pair sees the pixels of its own small region
@@ -297,7 +296,7 @@ def corridor(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img
     ranged = (F.col("along") >= F.col("lo")) & (F.col("along") <= F.col("hi"))
     bin_ = F.floor((F.col("along") - F.col("lo")) / 2)
     out = d.groupBy(*keys, *PAIR).agg(
-        N.alias("n_ink"), F.max("seg").alias("seg"), F.count_if(core).alias("n_corr"), F.max(F.col("hi") - F.col("lo")).alias("extent"),
+        n_rows().alias("n_ink"), F.max("seg").alias("seg"), F.count_if(core).alias("n_corr"), F.max(F.col("hi") - F.col("lo")).alias("extent"),
         F.size(F.collect_set(F.when(core, bin_))).alias("bins"),
         F.count_if(~core & (F.col("off") <= half * 3) & ranged).alias("n_wider"), F.avg(F.when(core, F.col("third").cast("double"))).alias("third_share"))
     return out.withColumn("n_bins", F.greatest(F.lit(1), F.floor(F.col("extent") / 2)))
@@ -393,4 +392,4 @@ def short_stubs(branches: DataFrame, ep: DataFrame, nodes: DataFrame, least: flo
     keys = list(keys)
     scored = nodes.filter("node_type in ('valve', 'instrument')").select(*keys, F.col("node_id").alias("bound_node_id"))
     ids = ep.join(scored, [*keys, "bound_node_id"], "left_semi").select(*keys, "branch_id").distinct()
-    return branches.filter(F.col("length_px") < 2 * least).join(ids, [*keys, "branch_id"], "left_semi").groupBy(*keys).agg(N.alias("n_short_stubs"))
+    return branches.filter(F.col("length_px") < 2 * least).join(ids, [*keys, "branch_id"], "left_semi").groupBy(*keys).agg(n_rows().alias("n_short_stubs"))

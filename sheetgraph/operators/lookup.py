@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g, text
 from sheetgraph.operators.suppress import SHEET
 
-N = F.count(F.lit(1))
 FILTERS = ["want_node_type", "want_cls_name", "want_function", "want_contains"]
 
 
@@ -79,7 +79,7 @@ def count_nodes(nodes: DataFrame, requests: DataFrame, keys=SHEET) -> DataFrame:
     Nodes are counted per combination of the filter columns before they meet the requests.
     """
     keys = list(keys)
-    c = nodes.groupBy(*keys, "node_type", "cls_name", "tag_function").agg(N.alias("n"))
+    c = nodes.groupBy(*keys, "node_type", "cls_name", "tag_function").agg(n_rows().alias("n"))
     r = requests.select(*keys, "req_id", *FILTERS[:3])
     d = r.join(c, keys).filter(_fits())
     total = r.join(d.groupBy(*keys, "req_id").agg(F.sum("n").alias("n")), [*keys, "req_id"], "left")
@@ -104,7 +104,7 @@ def resolve_term(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
     keys = list(keys)
     cls = nodes.groupBy(*keys, F.col("cls_name").alias("term")).agg(F.min("node_type").alias("cls_node_type"))
     fn = nodes.filter("length(tag_function) > 0").select(*keys, F.col("tag_function").alias("term")).distinct().withColumn("is_function", F.lit(1))
-    texts = nodes.filter("raw_text is not null").groupBy(*keys, F.lower("raw_text").alias("raw")).agg(N.alias("k"))
+    texts = nodes.filter("raw_text is not null").groupBy(*keys, F.lower("raw_text").alias("raw")).agg(n_rows().alias("k"))
     sub = terms.select(*keys, "term_id", F.lower("term").alias("t")).join(texts, keys).filter(F.contains("raw", "t")).groupBy(*keys, "term_id").agg(F.sum("k").alias("n_contains"))
     d = terms.join(cls, [*keys, "term"], "left").join(fn, [*keys, "term"], "left").join(sub, [*keys, "term_id"], "left")
     axis = F.when(F.col("term").isin(text.NODE_TYPES), "node_type").when(F.col("cls_node_type").isNotNull(), "cls_name")\
@@ -119,7 +119,7 @@ def expected(nodes: DataFrame, edges: DataFrame, cls_name: str, function: str, f
     loop numbers, and the neighbours of a focus node with provenance."""
     keys = list(keys)
     row = lambda d, q, i, v: d.select(*keys, F.lit(q).alias("question"), i.alias("item"), v.cast("string").alias("value"))
-    counts = row(nodes.groupBy(*keys, "node_type").agg(N.alias("n")), "count_by_type", F.col("node_type"), F.col("n"))
+    counts = row(nodes.groupBy(*keys, "node_type").agg(n_rows().alias("n")), "count_by_type", F.col("node_type"), F.col("n"))
     ids = row(nodes.filter(F.col("cls_name") == cls_name), "ids_of_class", F.col("id"), F.lit(cls_name))
     loops = row(nodes.filter((F.col("node_type") == "instrument") & (F.col("tag_function") == function)), "loops_of_function", F.col("id"), F.col("loop_number"))
     at = neighbours(nodes, edges, keys).filter(F.col("id") == focus)

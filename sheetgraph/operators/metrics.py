@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g
 from sheetgraph.operators.match import greedy_center, greedy_iou
 from sheetgraph.operators.ranking import best_from_here, quantiles, running
 from sheetgraph.operators.suppress import SHEET
 
-N = F.count(F.lit(1))
-
 
 def flagged(d: DataFrame, matches: DataFrame, keys=("sheet_id", "cls")) -> DataFrame:
     """Detections with `tp` from a one-to-one matching."""
@@ -30,7 +29,7 @@ def ap(scored: DataFrame, n_gt: DataFrame, by=("cls",)) -> DataFrame:
 
 
 def gt_counts(gt: DataFrame, by=("cls",)) -> DataFrame:
-    return gt.groupBy(*by).agg(N.alias("n_gt"))
+    return gt.groupBy(*by).agg(n_rows().alias("n_gt"))
 
 
 def ap_at(d: DataFrame, gt: DataFrame, thresholds, keys=SHEET, cls="cls") -> DataFrame:
@@ -75,7 +74,7 @@ def per_class(ap_table: DataFrame, baseline: DataFrame, drop: float = 0.1) -> Da
 def group_baseline(members: DataFrame, baseline: DataFrame, by="super") -> DataFrame:
     """Mean recorded AP over the classes of each group, with how many of them are recorded."""
     return members.join(baseline.select("cls", "ap50"), "cls", "left").groupBy(by).agg(
-        F.avg("ap50").alias("mean_ap50"), F.count("ap50").alias("n_recorded"), N.alias("n_total"))
+        F.avg("ap50").alias("mean_ap50"), F.count("ap50").alias("n_recorded"), n_rows().alias("n_total"))
 
 
 def extended(d: DataFrame, gt: DataFrame, keys=SHEET, cls="cls") -> DataFrame:
@@ -83,7 +82,7 @@ def extended(d: DataFrame, gt: DataFrame, keys=SHEET, cls="cls") -> DataFrame:
     aps = ap_at(d, gt, [0.5, 0.3], keys, cls).groupBy(cls).agg(
         F.max("n_gt").alias("n_gt"), F.max("n_pred").alias("n_pred"), F.max(F.when(F.col("thr") == 0.5, F.col("n_tp"))).alias("n_tp"),
         F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("thr") == 0.3, F.col("ap"))).alias("ap30"))
-    center = lambda f, n: greedy_center(d, gt, f, "gt", True, "side", [*keys, cls]).groupBy(cls).agg(N.alias(n))
+    center = lambda f, n: greedy_center(d, gt, f, "gt", True, "side", [*keys, cls]).groupBy(cls).agg(n_rows().alias(n))
     out = aps.join(center(0.25, "c25"), cls, "left").join(center(0.5, "c50"), cls, "left")
     share = lambda n, of: F.when(F.col(of) > 0, F.coalesce(F.col(n), F.lit(0)) / F.col(of)).otherwise(0.0)
     return out.select(cls, "n_gt", "n_tp", share("n_tp", "n_gt").alias("recall"), share("n_tp", "n_pred").alias("precision"), "ap50", "ap30",
@@ -98,7 +97,7 @@ def compare_runs(a: DataFrame, b: DataFrame, cls="cls", value="ap") -> DataFrame
 
 def class_counts(labels: DataFrame, taxonomy: DataFrame, cls="cls_id") -> DataFrame:
     """Instances per class, classes without any included, and the largest-to-smallest ratio over present classes."""
-    c = labels.groupBy(cls).agg(N.alias("n"))
+    c = labels.groupBy(cls).agg(n_rows().alias("n"))
     full = taxonomy.select(cls).join(c, cls, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ratio = full.filter("n > 0").agg((F.max("n") / F.min("n")).alias("imbalance"))
     return full.crossJoin(F.broadcast(ratio))  # a single row
@@ -106,7 +105,7 @@ def class_counts(labels: DataFrame, taxonomy: DataFrame, cls="cls_id") -> DataFr
 
 def image_stats(images: DataFrame, boxes: DataFrame, keys=SHEET) -> DataFrame:
     """Min, median and max of width, height and boxes per image; images without boxes count as zero."""
-    n = boxes.groupBy(*keys).agg(N.alias("n_boxes"))
+    n = boxes.groupBy(*keys).agg(n_rows().alias("n_boxes"))
     d = images.join(n, list(keys), "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
     long = d.select(F.expr("stack(3, 'width', double(width), 'height', double(height), 'boxes', double(n_boxes)) as (metric, val)"))
     return quantiles(long, ["metric"], F.col("val"), {"min": 0.0, "median": 0.5, "max": 1.0})
@@ -184,7 +183,7 @@ def size_bins(boxes: DataFrame, near_edge: Column, by=()) -> DataFrame:
 def orientation_share(boxes: DataFrame, by=()) -> DataFrame:
     """Count and share of horizontal, vertical and square symbols."""
     from pyspark.sql import Window
-    c = boxes.groupBy(*by, g.orientation(g.width(), g.height()).alias("orientation")).agg(N.alias("n"))
+    c = boxes.groupBy(*by, g.orientation(g.width(), g.height()).alias("orientation")).agg(n_rows().alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))  # three rows per group
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sheetgraph.functions.geometry import n_rows
 from sheetgraph.functions import text
 from sheetgraph.operators.suppress import SHEET
 from sheetgraph.params import TagParams
 
-N = F.count(F.lit(1))
-
 
 def assemble(lines: DataFrame, keys=SHEET, node="node_id") -> DataFrame:
     """Lines of each node top to bottom: cleaned texts, the joined text and the mean confidence of all lines."""
@@ -58,11 +57,11 @@ def cer(d: DataFrame, by=()) -> DataFrame:
 def exact_match(d: DataFrame) -> DataFrame:
     """Exact-match accuracy per label status and overall, with the pass gates (0.90 on ok rows, 0.80 overall)."""
     hit = F.sum((F.col("want") == F.col("got")).cast("bigint"))
-    d = d.rollup("label_status").agg(N.alias("n"), hit.alias("exact"), F.sum(1 - F.col("matched")).cast("bigint").alias("unmatched"), (hit / N).alias("accuracy"))
+    d = d.rollup("label_status").agg(n_rows().alias("n"), hit.alias("exact"), F.sum(1 - F.col("matched")).cast("bigint").alias("unmatched"), (hit / n_rows()).alias("accuracy"))
     gate = F.when(F.col("label_status") == "ok", F.col("accuracy") >= 0.90).when(F.col("label_status").isNull(), F.col("accuracy") >= 0.80)
     return d.withColumn("passed", gate.cast("int"))
 
 
-def rejected(probes: DataFrame, status: Column = F.col("parse_status")) -> DataFrame:
+def rejected(probes: DataFrame, status: str = "parse_status") -> DataFrame:
     """Known non-tags: how many were found, and how many of those the parser turned down."""
-    return probes.agg(N.alias("n"), F.count(status).alias("found"), F.count_if(status == "failed").alias("rejected"))
+    return probes.agg(n_rows().alias("n"), F.count(status).alias("found"), F.count_if(F.col(status) == "failed").alias("rejected"))
