@@ -21,7 +21,15 @@ def staged(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="sheetgraph-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # facts the optimizer derives about columns pile up from round to round until planning takes longer than running, so a
+    # round hands on its rows only
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def has_rows(df: DataFrame) -> bool:
