@@ -84,10 +84,10 @@ def _(v):
     return suppress.close_pair_counts(suppress.close_pairs(v.vertex.withColumn("node_type", g.node_type())))
 
 
-@check("j6_iou_join", f"SELECT d.sheet_id, d.det_id, g.gt_id, round({iou('d','g')},6) AS iou, round({inter('d','g')}/{box_area('d','1e-6')},6) AS frac FROM det d JOIN gt g ON g.sheet_id=d.sheet_id AND {inter('d','g')}>0 AND {iou('d','g')}>=0.3")
+@check("j6_iou_join", f"SELECT d.sheet_id, d.det_id, g.gt_id, round({iou('d','g')},12) AS iou, round({inter('d','g')}/{box_area('d','1e-6')},12) AS frac FROM det d JOIN gt g ON g.sheet_id=d.sheet_id AND {inter('d','g')}>0 AND {iou('d','g')}>=0.3")
 def _(v):
     j = match.iou_join(v.det.select("sheet_id", "det_id", *P.BOX), v.gt.select("sheet_id", "gt_id", *P.BOX), 0.3)
-    return j.select("sheet_id", F.col("p_det_id").alias("det_id"), F.col("g_gt_id").alias("gt_id"), F.round("iou", 6).alias("iou"), F.round("frac", 6).alias("frac"))
+    return j.select("sheet_id", F.col("p_det_id").alias("det_id"), F.col("g_gt_id").alias("gt_id"), F.round("iou", 12).alias("iou"), F.round("frac", 12).alias("frac"))
 
 
 @check("j7_ignore_suppression", f"SELECT det_id, sheet_id FROM det d WHERE NOT EXISTS (SELECT 1 FROM ignore_box g WHERE g.sheet_id=d.sheet_id AND {iou('d','g')}>=0.3)")
