@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheetgraph.llm import chat, fingerprints, mixing, pii, quality
+import public_tokenizers
+
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, pii, quality, tokens, toxicity
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -30,6 +32,12 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query("op2_bpe_encoding")
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op5_quality_rules", rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, {WORD}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS ls FROM d),
@@ -47,6 +55,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails("base").alias("base_failed"), (~quality.fails("v1")).alias("kept"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit(toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 1))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= toxicity.OPERATING, 1).otherwise(0).alias("predicted"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select("doc_id", text_of("text").alias("text"))
+    d = d.withColumn("n_tokens", tokens.n_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return d.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 @query("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.with_next_text(documents(spark, sf_dir)).withColumn("edit", fingerprints.edited(F.col("text"), F.col("next_text")))
