@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from sheetgraph.llm import bpe, chat, fingerprints, mixing, pii, quality, tokens, toxicity
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, pii, quality, shards, tokens, toxicity
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -38,6 +38,12 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.by_bytes(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op5_quality_rules", rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, {WORD}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS ls FROM d),
