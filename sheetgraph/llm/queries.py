@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from sheetgraph.llm import bpe, chat, fingerprints, mixing, pii, quality, shards, tokens, toxicity
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, quality, shards, tokens, toxicity
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -44,6 +44,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.linked(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_quality_rules", rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, {WORD}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS ls FROM d),
