@@ -12,8 +12,8 @@ frequent and come last.
 
 Inside a cluster the join itself runs on a prefix tree: the sets, ordered by one local order, stored as a tree with compressed
 paths. A set walks down the tree level by level, carrying the overlap of each path once for all sets below it; a subtree is
-left as soon as the overlap so far plus what can still come (the shorter of the longest remaining path and the set's own
-remaining shingles) is below what its smallest set would need. Links found are reduced to a spanning forest before they leave
+left as soon as its sets are all too small or too large, or the overlap so far plus what can still come (the shorter of the
+longest remaining path and the set's own remaining shingles) is below what its smallest set would need. Links found are reduced to a spanning forest before they leave
 the task. A cluster of more than `BLOCK` shingles is split by hash into g blocks and joined block by block against block, so memory is
 bounded for any cluster and each pair of blocks meets in one task. Components of the links are the result.
 
@@ -36,7 +36,8 @@ from sheetgraph.llm.tables import stored
 from sheetgraph.operators.components import components
 
 REGION = 0.2
-BLOCK = 8_000_000        # shingles joined in one task at most, twice over
+BLOCK = 3_000_000        # shingles of a block; a task joins two
+PIECE = 48               # ranks in one piece of a path
 BROADCAST_ROWS = 1_000_000  # cluster members (four longs each) that may be broadcast; beyond that a plain join
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 HELD_WORDS = 1_000_000
@@ -138,27 +139,35 @@ class Tree:
                 stack.append(len(nodes) - 1)
             own[i] = stack[-1]
             last = s
-        parent, of, start, end = np.array(nodes).T
-        depth = np.zeros(len(nodes), int)
-        for v in np.argsort(start, kind="stable"):
-            if v:
-                depth[v] = depth[parent[v]] + 1
-        smallest, longest = np.full(len(nodes), np.iinfo(int).max), end.copy()
+        # pieces are cut to PIECE ranks, so a path that stops fitting is left soon
+        last_of, cut = [0] * len(nodes), []
+        for v in sorted(range(len(nodes)), key=lambda v: nodes[v][3]):
+            up, i, a, b = nodes[v]
+            up = last_of[up] if v else -1
+            for at in range(a, max(b, a + 1), PIECE):
+                cut.append((up, i, at, min(b, at + PIECE)))
+                up = len(cut) - 1
+            last_of[v] = up
+        own = [last_of[v] for v in own]
+        parent, of, start, end = np.array(cut).T
+        smallest, longest, largest = np.full(len(cut), np.iinfo(int).max), end.copy(), np.zeros(len(cut), int)
         np.minimum.at(smallest, own, sizes)
-        for v in np.argsort(-depth, kind="stable"):
-            if v:
-                smallest[parent[v]] = min(smallest[parent[v]], smallest[v])
-                longest[parent[v]] = max(longest[parent[v]], longest[v])
+        np.maximum.at(largest, own, sizes)
+        for v in range(len(cut) - 1, 0, -1):  # children come after their parents
+            smallest[parent[v]] = min(smallest[parent[v]], smallest[v])
+            largest[parent[v]] = max(largest[parent[v]], largest[v])
+            longest[parent[v]] = max(longest[parent[v]], longest[v])
+        n_nodes = len(cut)
         by_parent = np.argsort(parent, kind="stable")
-        self.child = by_parent[1:] if len(nodes) > 1 else by_parent[:0]  # the root comes first: its parent is -1
-        self.n_child = np.bincount(parent[1:], minlength=len(nodes)) if len(nodes) > 1 else np.zeros(1, int)
+        self.child = by_parent[1:]  # the root comes first: its parent is -1
+        self.n_child = np.bincount(parent[1:], minlength=n_nodes)
         self.first_child = np.concatenate([[0], np.cumsum(self.n_child)[:-1]])
-        self.rest, self.smallest = longest - end, smallest
-        self.piece = np.concatenate([*(sets[o][a:b] for o, a, b in zip(of, start, end)), np.zeros(0, np.int64)])
+        self.rest, self.smallest, self.largest = longest - end, smallest, largest
+        self.piece = np.concatenate([*(sets[o][a:b] for o, a, b in zip(of, start, end)), np.zeros(0, np.int32)])
         self.piece_at = np.concatenate([[0], np.cumsum(end - start)])
         ends = np.argsort(own, kind="stable")
         self.sets_of = ends
-        self.n_sets = np.bincount(own, minlength=len(nodes))
+        self.n_sets = np.bincount(own, minlength=n_nodes)
         self.first_set = np.concatenate([[0], np.cumsum(self.n_sets)[:-1]])
 
     @staticmethod
@@ -180,6 +189,9 @@ class Tree:
             n = self.n_child[level]
             overlap = np.repeat(overlap, n)
             level = self.child[self._spread(self.first_child[level], n)]
+            # sizes alone rule out a subtree whose sets are all too small or too large
+            go = (100 * self.largest[level] >= percent * size) & (100 * size >= percent * self.smallest[level])
+            level, overlap = level[go], overlap[go]
             if not len(level):
                 break
             a, length = self.piece_at[level], self.piece_at[level + 1] - self.piece_at[level]
@@ -199,7 +211,7 @@ def forest(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[in
     sizes = np.array([len(s) for _, s in members])
     every, counts = np.unique(np.concatenate([s for _, s in members]), return_counts=True)
     shared = counts > 1
-    rank = np.full(len(every), -1, np.int64)
+    rank = np.full(len(every), -1, np.int32)
     rank[np.flatnonzero(shared)[np.argsort(-counts[shared], kind="stable")]] = np.arange(shared.sum())  # frequent first: paths are shared
     ranked = []
     for _, s in members:
