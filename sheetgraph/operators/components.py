@@ -23,7 +23,7 @@ def components(vertices: DataFrame, edges: DataFrame, keys=SHEET, id="node_id",
     while has_rows(live):
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(hooks))).alias("r"), F.col(c).alias("p"))
         low = live.groupBy(*keys, "a").agg(F.min(rank("b")).alias("m"))
-        up = low.select(*keys, "a", F.least("m", rank("a"))["p"].alias("p"))
+        up = staged(low.select(*keys, "a", F.least("m", rank("a"))["p"].alias("p")))
         for _ in range(2):
             nxt = up.select(*keys, F.col("a").alias("p"), F.col("p").alias("pp"))
             up = up.join(nxt, [*keys, "p"]).select(*keys, "a", F.col("pp").alias("p"))
