@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; only a session without that setting gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sheetgraph-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from sheetgraph.operators.stage import staged
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows written once as a table of the shared folder and read back: lineage ends here, whatever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
