@@ -2,11 +2,12 @@
 
 A rolling hash over the last bytes cuts every text into chunks of about a kilobyte; the places depend on the content only, so a
 passage that many documents share is cut alike everywhere. A task encodes each distinct chunk once and keeps the ids in a
-bounded table (two generations of `HELD_CHARS` characters); nothing is shuffled.
+bounded table (two generations of `HELD_CHARS` characters); nothing is shuffled. A chunk that is not held is put together from its
+words, whose ids are held in a bounded table too.
 
 A chunk's ids can be wrong near its ends, where a word or a special token was cut. Each join is repaired: the text from the
-second last blank of the left chunk to the second blank of the right one is encoded again, and the ids of the outer word on
-either side must agree with the ids the chunks have there. If they do not, or a chunk has too few blanks, the repair widens,
+second last word of the left chunk to the second word of the right one is encoded again, and the ids of the outer word on
+either side must agree with the ids the chunks have there. If they do not, or a chunk has too few words, the repair widens,
 in the end to the whole text. The pre-tokeniser never joins across a blank and special tokens hold none, so agreement on a
 whole word on both sides makes the joined ids those of the whole text.
 
@@ -16,6 +17,9 @@ result. Columns named `ids` or `decoded` are replaced.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,7 @@ TAPS = 8              # bytes the rolling hash looks back
 MASK = (1 << 10) - 1  # one cut in about 1,024 bytes
 BLANKS = 6            # a chunk with fewer blanks is joined to the next one
 HELD_CHARS = 4_000_000
+HELD_WORDS = 500_000
 SLICE_BYTES = 1 << 21
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -57,21 +62,32 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-def blanks(text: str, back: bool) -> list[int]:
-    """Places of the two outermost single blanks between visible ASCII characters, from the start or from the end."""
-    found, at = [], len(text) if back else 0
-    while len(found) < 2:
-        if back:
-            at = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at))
-        else:
-            near = [x for x in (text.find(" ", at), text.find("\n", at)) if x >= 0]
-            at = min(near) if near else -1
-        if at < 0:
-            return []
-        if 0 < at < len(text) - 1 and "!" <= text[at - 1] <= "~" and "!" <= text[at + 1] <= "~":
-            found.append(at)
-        at += 0 if back else 1
-    return found
+class Chunk:
+    """Ids of a chunk; if it has four words, also its outer two on either side with the places of their ids."""
+
+    __slots__ = ("ids", "head", "tail", "open", "closed")
+
+    def __init__(self, text: str, words: list[str], per_word: list[list[int]]):
+        self.ids = np.array(list(itertools.chain.from_iterable(per_word)), np.int32)
+        self.head = (words[0], words[1], len(per_word[0]), len(per_word[0]) + len(per_word[1])) if len(words) > 3 else None
+        self.tail = (words[-2], words[-1], len(self.ids) - len(per_word[-1]) - len(per_word[-2]), len(self.ids) - len(per_word[-1])) if len(words) > 3 else None
+        self.open, self.closed = text[:1] in BLANK, text[-1:] in BLANK  # a blank stands at the start, at the end
+
+
+BLANK = (" ", "\n")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+TOGETHER = 2000  # plain words encoded in one call
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between spaces and line feeds; other blanks stay inside."""
+    return [w for w in text.replace("\n", " ").split(" ") if w]
+
+
+def window(left: Chunk, right: Chunk) -> str:
+    """The text around a join, from the second last word on the left to the second on the right."""
+    gap = " " if left.closed or right.open else ""
+    return f"{left.tail[0]} {left.tail[1]}{gap}{right.head[0]} {right.head[1]}"
 
 
 class Reuse:
@@ -80,19 +96,27 @@ class Reuse:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.new, self.old, self.held = {}, {}, 0
+        self.words: dict[str, list[int]] = {}
         self.encoded = self.reused = 0
+        end = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ending = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ending[[i for t, i in self.tokenizer.get_vocab().items() if end and t.endswith(end)]] = True
+
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def together(self, words: list[str]) -> None:
+        """Encode words of Latin letters in one call. Each is one pre-token, so its ids end where a token ends a word."""
+        ids = self.batch([" ".join(words)])[0]
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            cuts = [0, *ends.tolist()]
+            self.words.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        else:
+            self.words.update(zip(words, self.batch(words)))
 
-    def entry(self, text: str, enc):
-        """ids and, if the chunk has them, (place, ids before it) of its outer blanks: first, second, second last, last."""
-        a, z = blanks(text, False), blanks(text, True)
-        marks = None
-        if a and z and a[1] < z[1]:
-            at = [(p, enc.char_to_token(p + 1)) for p in (a[0], a[1], z[1], z[0])]
-            marks = at if all(n is not None for _, n in at) else None
-        return np.array(enc.ids, np.int32), marks
-
-    def all(self, texts: list[str]) -> dict:
-        """Entries of some chunks."""
+    def all(self, texts: list[str]) -> dict[str, Chunk]:
+        """Ids of some chunks. Those not held are put together from their words, each of which is encoded once while it is held."""
         got, missing = {}, []
         for t in dict.fromkeys(texts):
             e = self.new.get(t) or self.old.get(t)
@@ -102,8 +126,18 @@ class Reuse:
                 got[t] = e
                 self.reused += 1
         self.encoded += len(missing)
-        for t, enc in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            got[t] = self.new[t] = self.entry(t, enc)
+        if len(self.words) > HELD_WORDS:
+            self.words = {}
+        cut = [words_of(t) for t in missing]
+        known = self.words
+        unknown = set().union(*cut).difference(known)
+        plain = [w for w in unknown if PLAIN(w)]
+        unknown.difference_update(plain)
+        for a in range(0, len(plain), TOGETHER):
+            self.together(plain[a:a + TOGETHER])
+        known.update(zip(rest := list(unknown), self.batch(rest)))
+        for t, ws in zip(missing, cut):
+            got[t] = self.new[t] = Chunk(t, ws, list(map(known.__getitem__, ws)))
             self.held += len(t)
         if self.held > HELD_CHARS:
             self.old, self.new, self.held = self.new, {}, 0
@@ -113,65 +147,48 @@ class Reuse:
         """Ids of whole texts."""
         cut = [chunks(t) for t in texts]
         known = self.all([c for cs in cut for c in cs])
-        windows, where = [], []
-        for d, cs in enumerate(cut):
-            for j in range(len(cs) - 1):
-                left, right = known[cs[j]], known[cs[j + 1]]
-                if left[1] is None or right[1] is None:
-                    where.append((d, j, None))
-                else:
-                    where.append((d, j, len(windows)))
-                    windows.append(cs[j][left[1][2][0]:] + cs[j + 1][:right[1][1][0]])
-        again = self.tokenizer.encode_batch_fast(windows, add_special_tokens=False)
-        joins: dict[int, list] = {}
-        for d, j, w in where:
-            joins.setdefault(d, []).append(None if w is None else self.agreed(known[cut[d][j]], known[cut[d][j + 1]], np.array(again[w].ids, np.int32)))
+        joins = [(known[a], known[b]) for cs in cut for a, b in zip(cs, cs[1:])]
+        fit = [a.tail is not None and b.head is not None for a, b in joins]
+        again = iter(self.batch([window(a, b) for (a, b), ok in zip(joins, fit) if ok]))
+        repaired = iter([self.agreed(a, b, np.array(next(again), np.int32)) if ok else None for (a, b), ok in zip(joins, fit)])
         out = []
-        for d, cs in enumerate(cut):
-            mine = joins.get(d, [])
-            if any(x is None for x in mine):
-                out.append(self.widened(cs))
-                continue
-            parts, start = [], 0
-            for j, w in enumerate(mine):
-                parts += [known[cs[j]][0][start:known[cs[j]][1][2][1]], w]
-                start = known[cs[j + 1]][1][1][1]
-            out.append(np.concatenate([*parts, known[cs[-1]][0][start:]]))
+        for cs in cut:
+            mine = [next(repaired) for _ in cs[1:]]
+            out.append(self.widened(cs) if any(x is None for x in mine) else self.joined([known[c] for c in cs], mine))
         return out
 
     @staticmethod
-    def agreed(left, right, window):
+    def joined(parts: list[Chunk], windows: list[np.ndarray]) -> np.ndarray:
+        """Ids of chunks with repaired joins."""
+        out, start = [], 0
+        for left, right, w in zip(parts, parts[1:], windows):
+            out += [left.ids[start:left.tail[2]], w]
+            start = right.head[3]
+        return np.concatenate([*out, parts[-1].ids[start:]])
+
+    @staticmethod
+    def agreed(left: Chunk, right: Chunk, ids: np.ndarray):
         """The window's ids if they agree with both chunks on a word each, else None."""
-        (ids_l, at_l), (ids_r, at_r) = left, right
-        outer_l, outer_r = ids_l[at_l[2][1]:at_l[3][1]], ids_r[at_r[0][1]:at_r[1][1]]
-        ok = len(window) >= len(outer_l) + len(outer_r) and np.array_equal(window[:len(outer_l)], outer_l) and np.array_equal(window[len(window) - len(outer_r):], outer_r)
-        return window if ok else None
+        outer_l, outer_r = left.ids[left.tail[2]:left.tail[3]], right.ids[right.head[2]:right.head[3]]
+        ok = len(ids) >= len(outer_l) + len(outer_r) and np.array_equal(ids[:len(outer_l)], outer_l) and np.array_equal(ids[len(ids) - len(outer_r):], outer_r)
+        return ids if ok else None
 
     def widened(self, cs: list[str]) -> np.ndarray:
-        """Chunks are joined to the next one until all joins agree; in the end the text is one chunk."""
-        while True:
-            if len(cs) == 1:
-                return np.array(self.tokenizer.encode(cs[0], add_special_tokens=False).ids, np.int32)
-            known, merged, bad = self.all(cs), [cs[0]], False
-            for c in cs[1:]:
-                left = known[merged[-1]] if merged[-1] in known else (None, None)
-                right = known[c]
-                w = None
-                if left[1] is not None and right[1] is not None:
-                    w = self.agreed(left, right, np.array(self.tokenizer.encode(merged[-1][left[1][2][0]:] + c[:right[1][1][0]], add_special_tokens=False).ids, np.int32))
+        """Chunks whose join does not agree become one chunk, until all joins agree; in the end the text is one chunk."""
+        while len(cs) > 1:
+            known, merged, windows = self.all(cs), [cs[0]], []
+            for a, b in zip(cs, cs[1:]):
+                left, right = known[a], known[b]
+                w = self.agreed(left, right, np.array(self.batch([window(left, right)])[0], np.int32)) if left.tail and right.head else None
                 if w is None:
-                    merged[-1] += c
-                    bad = True
+                    merged[-1] += b
                 else:
-                    merged.append(c)
-            if not bad:
-                parts, start = [], 0
-                for a, b in zip(cs, cs[1:]):
-                    at = known[a][1][2]
-                    parts += [known[a][0][start:at[1]], np.array(self.tokenizer.encode(a[at[0]:] + b[:known[b][1][1][0]], add_special_tokens=False).ids, np.int32)]
-                    start = known[b][1][1][1]
-                return np.concatenate([*parts, known[cs[-1]][0][start:]])
+                    merged.append(b)
+                    windows.append(w)
+            if len(merged) == len(cs):
+                return self.joined([known[c] for c in cs], windows)
             cs = merged
+        return np.array(self.batch(cs)[0], np.int32)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
