@@ -68,7 +68,7 @@ class Chunk:
 
     __slots__ = ("ids", "head", "tail", "open", "closed")
 
-    def __init__(self, text: str, words: list[str], per_word: list[list[int]]):
+    def __init__(self, text: str, words: list[str], per_word: list[tuple[int, ...]]):
         self.ids = np.array(list(itertools.chain.from_iterable(per_word)), np.int32)
         self.head = (words[0], words[1], len(per_word[0]), len(per_word[0]) + len(per_word[1])) if len(words) > 3 else None
         self.tail = (words[-2], words[-1], len(self.ids) - len(per_word[-1]) - len(per_word[-2]), len(self.ids) - len(per_word[-1])) if len(words) > 3 else None
@@ -97,7 +97,7 @@ class Reuse:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.new, self.old, self.held = {}, {}, 0
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}  # tuples of numbers cost the garbage collector nothing
         self.encoded = self.reused = 0
         end = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.ending = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -112,9 +112,9 @@ class Reuse:
         ends = np.flatnonzero(self.ending[ids]) + 1
         if len(ends) == len(words) and ends[-1] == len(ids):
             cuts = [0, *ends.tolist()]
-            self.words.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+            self.words.update((w, tuple(ids[a:b])) for w, a, b in zip(words, cuts, cuts[1:]))
         else:
-            self.words.update(zip(words, self.batch(words)))
+            self.words.update(zip(words, map(tuple, self.batch(words))))
 
     def all(self, texts: list[str]) -> dict[str, Chunk]:
         """Ids of some chunks. Those not held are put together from their words, each of which is encoded once while it is held."""
@@ -136,7 +136,7 @@ class Reuse:
         unknown.difference_update(plain)
         for a in range(0, len(plain), TOGETHER):
             self.together(plain[a:a + TOGETHER])
-        known.update(zip(rest := list(unknown), self.batch(rest)))
+        known.update(zip(rest := list(unknown), map(tuple, self.batch(rest))))
         for t, ws in zip(missing, cut):
             got[t] = self.new[t] = Chunk(t, ws, list(map(known.__getitem__, ws)))
             self.held += len(t)
