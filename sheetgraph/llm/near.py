@@ -5,8 +5,8 @@ stands for it. Two classes link when 100 * common >= percent * united.
 
 Which classes can link at all is decided by prefixes under one global order of shingles, rare ones first: a set of n shingles can
 only link to a set that shares one of its first n - ceil(percent * n / 100) + 1 shingles. The order is (region, document frequency,
-hash), where the first region is the lowest `REGION`-th of the hash range; only sets with too few shingles there show the others
-too, so about a fifth of the shingles are ever shuffled. Frequencies are exact for that, over all classes. What links through
+hash), where the first region is a lowest part of the hash range, a little larger than a prefix; only sets with too few shingles
+there show the others too, so a fifth to a third of the shingles are ever shuffled. Frequencies are exact for that, over all classes. What links through
 shared prefixes is a candidate cluster: small even where a passage stands in thousands of documents, since its shingles are
 frequent and come last.
 
@@ -35,8 +35,8 @@ from sheetgraph.llm.bpe import slices
 from sheetgraph.llm.tables import stored
 from sheetgraph.operators.components import components
 
-REGION = 0.2
-BLOCK = 3_000_000        # shingles of a block; a task joins two
+REGION = 1.4  # size of the first region, as a multiple of the share of shingles two linked sets may lack
+BLOCK = 1_500_000        # shingles of a block; a task joins two
 PIECE = 48               # ranks in one piece of a path
 BROADCAST_ROWS = 1_000_000  # cluster members (four longs each) that may be broadcast; beyond that a plain join
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -73,9 +73,14 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def region(percent: int) -> int:
+    """End of the first region of the (unsigned) hash range."""
+    return int(REGION * (100 - percent) / 100 * 2.0 ** 64)
+
+
 def sets(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
     """id, n (set size), digest of the set, m0 (shingles in the first region), seen (those that are ordered; bigints)."""
-    limit = np.uint64(int(REGION * 2.0 ** 64))
+    limit = np.uint64(region(percent))
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +107,7 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """(t, rid, n): the shared shingles of every class's prefix, rare first."""
     p = classes.select("rid", "n", "m0", F.size("seen").alias("m"), F.explode("seen").alias("t"))
     often = p.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    first = F.col("t").between(0, int(REGION * 2.0 ** 64) - 1)  # unsigned order: the first region has no sign bit
+    first = F.col("t").between(0, region(percent) - 1)  # it ends below the sign bit for any percent above 64
     shared = p.join(often, "t").withColumn("far", (~first).cast("int"))
     own = Window.partitionBy("rid", "far")
     place = F.row_number().over(own.orderBy("df", "t")) - F.count(F.lit(1)).over(own)
