@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes cuts every text into chunks of about a kilobyte; the places depend on the content only, so a
-passage that many documents share is cut alike everywhere. A worker encodes each distinct chunk once and keeps the ids in a
+passage that many documents share is cut alike everywhere. A task encodes each distinct chunk once and keeps the ids in a
 bounded table (two generations of `HELD_CHARS` characters); nothing is shuffled. A chunk that is not held is put together from its
 words, whose ids are held in a bounded table too.
 
@@ -17,7 +17,6 @@ result. Columns named `ids` or `decoded` are replaced.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -33,8 +32,8 @@ from sheetgraph.llm.tokens import tokenizer
 TAPS = 8              # bytes the rolling hash looks back
 MASK = (1 << 10) - 1  # one cut in about 1,024 bytes
 BLANKS = 6            # a chunk with fewer blanks is joined to the next one
-HELD_CHARS = 4_000_000
-HELD_WORDS = 800_000
+HELD_CHARS = 1_000_000
+HELD_WORDS = 400_000
 SLICE_BYTES = 1 << 21
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -192,12 +191,6 @@ class Reuse:
         return np.array(self.batch(cs)[0], np.int32)
 
 
-@functools.cache
-def held(path: str) -> Reuse:
-    """What a worker process holds, over all its tasks."""
-    return Reuse(path)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about `most` bytes of text each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -215,7 +208,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     source = docs.select(*keep, docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reuse = held(path)
+        reuse = Reuse(path)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 ids = reuse.ids([t or "" for t in batch.column("__text").to_pylist()])

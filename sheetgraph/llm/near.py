@@ -40,7 +40,7 @@ BLOCK = 1_500_000        # shingles of a block; a task joins two
 PIECE = 48               # ranks in one piece of a path
 BROADCAST_ROWS = 1_000_000  # cluster members (four longs each) that may be broadcast; beyond that a plain join
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-HELD_WORDS = 1_000_000
+HELD_WORDS = 300_000
 
 
 class Hashes(dict):
