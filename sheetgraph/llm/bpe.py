@@ -32,8 +32,8 @@ from sheetgraph.llm.tokens import tokenizer
 TAPS = 8              # bytes the rolling hash looks back
 MASK = (1 << 10) - 1  # one cut in about 1,024 bytes
 BLANKS = 6            # a chunk with fewer blanks is joined to the next one
-HELD_CHARS = 1_000_000
-HELD_WORDS = 400_000
+HELD_CHARS = 2_000_000
+HELD_WORDS = 800_000
 SLICE_BYTES = 1 << 21
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
 
