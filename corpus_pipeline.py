@@ -41,7 +41,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = bpe.encoded(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id", "source"])
+    d = bpe.encoded(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id", "source"], words=400_000, chars=1_000_000, across_tasks=False)
     return d.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

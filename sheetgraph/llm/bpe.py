@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes cuts every text into chunks of about a kilobyte; the places depend on the content only, so a
-passage that many documents share is cut alike everywhere. A task encodes each distinct chunk once and keeps the ids in a
+passage that many documents share is cut alike everywhere. A worker encodes each distinct chunk once and keeps the ids in a
 bounded table (two generations of `HELD_CHARS` characters); nothing is shuffled. A chunk that is not held is put together from its
 words, whose ids are held in a bounded table too.
 
@@ -17,6 +17,7 @@ result. Columns named `ids` or `decoded` are replaced.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
@@ -32,8 +33,7 @@ from sheetgraph.llm.tokens import tokenizer
 TAPS = 8              # bytes the rolling hash looks back
 MASK = (1 << 10) - 1  # one cut in about 1,024 bytes
 BLANKS = 6            # a chunk with fewer blanks is joined to the next one
-HELD_CHARS = 2_000_000
-HELD_WORDS = 800_000
+HELD_CHARS, HELD_WORDS = 4_000_000, 800_000  # a generation of chunks, words: about 300 MB a worker
 SLICE_BYTES = 1 << 21
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -93,8 +93,8 @@ def window(left: Chunk, right: Chunk) -> str:
 class Reuse:
     """Ids of chunks, encoded once while they are held."""
 
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
+    def __init__(self, path: str, words: int = HELD_WORDS, chars: int = HELD_CHARS):
+        self.tokenizer, self.most_words, self.most_chars = tokenizer(path), words, chars
         self.new, self.old, self.held = {}, {}, 0
         self.words: dict[str, tuple[int, ...]] = {}  # tuples of numbers cost the garbage collector nothing
         self.encoded = self.reused = 0
@@ -126,8 +126,8 @@ class Reuse:
                 got[t] = e
                 self.reused += 1
         self.encoded += len(missing)
-        if len(self.words) > HELD_WORDS:  # the older half goes
-            self.words = dict(itertools.islice(self.words.items(), HELD_WORDS // 2, None))
+        if len(self.words) > self.most_words:  # the older half goes
+            self.words = dict(itertools.islice(self.words.items(), self.most_words // 2, None))
         cut = [words_of(t) for t in missing]
         known = self.words
         unknown = set().union(*cut).difference(known)
@@ -139,7 +139,7 @@ class Reuse:
         for t, ws in zip(missing, cut):
             got[t] = self.new[t] = Chunk(t, ws, list(map(known.__getitem__, ws)))
             self.held += len(t)
-        if self.held > HELD_CHARS:
+        if self.held > self.most_chars:
             self.old, self.new, self.held = self.new, {}, 0
         return got
 
@@ -191,6 +191,12 @@ class Reuse:
         return np.array(self.batch(cs)[0], np.int32)
 
 
+@functools.cache
+def of_worker(path: str, words: int, chars: int) -> Reuse:
+    """What a worker process holds over all its tasks."""
+    return Reuse(path, words, chars)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about `most` bytes of text each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -201,14 +207,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
             yield batch.slice(a, b - a)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with `ids` (array of int) and `decoded` (string)."""
+def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, words: int = HELD_WORDS, chars: int = HELD_CHARS,
+            across_tasks: bool = True) -> DataFrame:
+    """The kept columns with `ids` (array of int) and `decoded` (string). `words` and `chars` bound what is held; where workers go on to
+    other work, across_tasks=False lets them drop it after each task."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
     source = docs.select(*keep, docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reuse = Reuse(path)
+        reuse = of_worker(path, words, chars) if across_tasks else Reuse(path, words, chars)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 ids = reuse.ids([t or "" for t in batch.column("__text").to_pylist()])
