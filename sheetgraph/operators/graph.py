@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheetgraph.functions.geometry import n_rows
@@ -167,15 +169,16 @@ def veto(pairs: DataFrame, raw: tuple[DataFrame, DataFrame], contracted: tuple[D
     return d.withColumn("vetoed", F.col("in_raw") & ~F.col("in_contracted"))
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 16, keys=SHEET, pair="pair_id") -> DataFrame:
-    """Fewest-hops path per (start, goal) pair, smallest ids first among equals; NULL beyond max_depth."""
+def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None, keys=SHEET, pair="pair_id") -> DataFrame:
+    """Fewest-hops path per (start, goal) pair, smallest ids first among equals. Without max_depth the search ends when nothing new is
+    reached; with it, paths of more hops are NULL."""
     keys = list(keys)
     hop = staged(both_ways(edges, keys, "at", "to").distinct())
     on = [*keys, pair]
     front = staged(pairs.select(*on, "goal", F.col("start").alias("at"), F.array("start").alias("path")))
     seen, found = front.select(*on, "at"), front.filter("at = goal").select(*on, "path")
     front = front.filter("at <> goal")
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         nxt = front.join(hop, [*keys, "at"]).select(*on, "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         nxt = nxt.join(seen, [*on, "at"], "left_anti").groupBy(*on, "goal", "at").agg(F.min("path").alias("path"))
         nxt = staged(nxt)

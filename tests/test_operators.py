@@ -221,3 +221,10 @@ def test_published_sheet_ratios(spark, tp, fp, fn, p, r, f):
 
 def test_disc_offsets():
     assert ink.touching_offsets(3)[0] == 7 and max(ink.touching_offsets(3)) == 7
+
+
+def test_path_of_any_length(spark):
+    from sheetgraph.operators.graph import shortest_path
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(25)], "sheet_id int, u bigint, v bigint")
+    pairs = spark.createDataFrame([(1, 0, 0, 25), (1, 1, 0, 99)], "sheet_id int, pair_id int, start bigint, goal bigint")
+    assert {r.pair_id: r.hops for r in shortest_path(edges, pairs).collect()} == {0: 25, 1: None}
