@@ -67,15 +67,20 @@ class Chunk:
 
     __slots__ = ("ids", "head", "tail", "open", "closed")
 
-    def __init__(self, text: str, words: list[str], per_word: list[tuple[int, ...]]):
-        self.ids = np.array(list(itertools.chain.from_iterable(per_word)), np.int32)
-        self.head = (words[0], words[1], len(per_word[0]), len(per_word[0]) + len(per_word[1])) if len(words) > 3 else None
-        self.tail = (words[-2], words[-1], len(self.ids) - len(per_word[-1]) - len(per_word[-2]), len(self.ids) - len(per_word[-1])) if len(words) > 3 else None
+    def __init__(self, text: str, words: list[str], ids: np.ndarray, ends: list[int]):
+        """`ends`: the number of ids before the second, third, second last and last word."""
+        many = len(words) > 3
+        self.ids = ids
+        self.head = (words[0], words[1], ends[0], ends[1]) if many else None
+        self.tail = (words[-2], words[-1], ends[2], ends[3]) if many else None
         self.open, self.closed = text[:1] in BLANK, text[-1:] in BLANK  # a blank stands at the start, at the end
 
 
 BLANK = (" ", "\n")
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+PLAIN = re.compile(LETTERS).fullmatch
+# letters between marks are pre-tokens of their own; an apostrophe may start a suffix and <, |, > a special token
+MARKED = re.compile(rf'([(["*#]*)({LETTERS})([.,;:!?%#$&*)\]"]*)').fullmatch
 TOGETHER = 2000  # plain words encoded in one call
 
 
@@ -128,21 +133,47 @@ class Reuse:
         self.encoded += len(missing)
         if len(self.words) > self.most_words:  # the older half goes
             self.words = dict(itertools.islice(self.words.items(), self.most_words // 2, None))
-        cut = [words_of(t) for t in missing]
-        known = self.words
-        unknown = set().union(*cut).difference(known)
-        plain = [w for w in unknown if PLAIN(w)]
-        unknown.difference_update(plain)
-        for a in range(0, len(plain), TOGETHER):
-            self.together(plain[a:a + TOGETHER])
-        known.update(zip(rest := list(unknown), map(tuple, self.batch(rest))))
-        for t, ws in zip(missing, cut):
-            got[t] = self.new[t] = Chunk(t, ws, list(map(known.__getitem__, ws)))
-            self.held += len(t)
+        if missing:
+            for t, chunk in zip(missing, self.built(missing)):
+                got[t] = self.new[t] = chunk
+                self.held += len(t)
         if self.held > self.most_chars:
             self.old, self.new, self.held = self.new, {}, 0
         return got
 
+    def of_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct words; those not held are encoded first, letters apart from the marks around them."""
+        known = self.words
+        unknown = [w for w in words if w not in known]
+        marked = {w: m.groups() for w in unknown if (m := MARKED(w))}
+        parts = {p for m in marked.values() for p in m if p}.difference(known)
+        plain = [p for p in parts if PLAIN(p)]
+        for a in range(0, len(plain), TOGETHER):
+            self.together(plain[a:a + TOGETHER])
+        rest = [*parts.difference(plain), *(w for w in unknown if w not in marked)]
+        known.update(zip(rest, map(tuple, self.batch(rest))))
+        known.update((w, tuple(itertools.chain.from_iterable(known[p] for p in m if p))) for w, m in marked.items() if w not in known)
+        return list(map(known.__getitem__, words))
+
+    def built(self, texts: list[str]) -> list[Chunk]:
+        """Chunks put together from the ids of their distinct words."""
+        cut = [words_of(t) for t in texts]
+        coded = pa.array(list(itertools.chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        per_word = self.of_words(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.fromiter(map(len, per_word), np.int64, len(per_word))
+        ids = np.fromiter(itertools.chain.from_iterable(per_word), np.int32, int(size.sum()))
+        end = np.concatenate([[0], np.cumsum(size[code])])  # where the ids of each word in a row end
+        shift = (np.cumsum(size) - size)[code] - end[:-1]
+        flat = ids[np.arange(end[-1]) + np.repeat(shift, size[code])]
+        out, at = [], 0
+        for t, ws in zip(texts, cut):
+            first, last = at, at + len(ws)
+            a, b = end[first], end[last]
+            out.append(Chunk(t, ws, flat[a:b].copy(), (end[[first + 1, first + 2, last - 2, last - 1]] - a).tolist() if len(ws) > 3 else []))
+            at = last
+        return out
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         cut = [chunks(t) for t in texts]

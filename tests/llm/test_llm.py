@@ -82,7 +82,7 @@ def test_bpe_and_counts(docs, rows, none):
 
 def test_chunks_repair_odd_text():
     r, reuse = random.Random(5), bpe.Reuse(PATH)
-    parts = ["a", "Bé", "é", "́", " ", "  ", "\n", "\t", " ", "<|endoftext|>", "<|endo", "ftext|>", "12", "'s", "Σ", "日本", "!!", "x" * 50, "\U0001F600", "the ", "of "]
+    parts = ["a", "Bé", "é", "́", " ", "  ", "\n", "\t", " ", "<|endoftext|>", "<|endo", "ftext|>", "12", "'s", "Σ", "日本", "!!", "x" * 50, "\U0001F600", "the ", "of ", " (word), ", " End.) ", " don't. ", " *a<|endoftext|>. ", " x% "]
     for _ in range(300):
         t = "".join(r.choice(parts) for _ in range(r.choice([0, 1, 50, 400, 2000])))
         assert reuse.ids([t])[0].tolist() == reuse.tokenizer.encode(t, add_special_tokens=False).ids
