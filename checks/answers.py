@@ -23,7 +23,7 @@ register("request", f"""SELECT sheet_id, det_id AS req_id, CASE h%7 WHEN 0 THEN
 register("wanted", "SELECT sheet_id, concat('sym_', CAST(h%140 AS VARCHAR(8))) AS id, min(det_id) AS req_id FROM det WHERE cls_id IN (23,24,29) GROUP BY 1,2")
 register("term", """SELECT sheet_id, det_id AS term_id, CASE h%6 WHEN 0 THEN 'valve' WHEN 1 THEN 'reducer' WHEN 2 THEN 'PSV' WHEN 3 THEN '14' WHEN 4 THEN 'pump' ELSE 'angle_valve' END AS term FROM det WHERE cls_id IN (23,24)""")
 # turns: every message as a question and an answer with appended literals; two or three calls each
-register("turns", """SELECT conv_id*100+turn AS turn_id, conv_id%40 AS sheet_id,
+register("turns", """SELECT conv_id*100+turn AS turn_id, conv_id%(SELECT max(sheet_id)+1 FROM image) AS sheet_id,
  concat(text, CASE (conv_id+turn)%7 WHEN 0 THEN concat(' What connects to sym_', turn, '?') WHEN 1 THEN ' Is this sheet safe?' WHEN 2 THEN concat(' Trace the line from sym_', turn, ' to sym_999.') WHEN 3 THEN ' How many reducer nodes carry PT?' WHEN 4 THEN ' Count the valves with ''14'' in them.' WHEN 5 THEN ' Is it a well-designed instrument layout?' ELSE ' angle_valve with ''PT 14''' END) AS question,
  concat(text, CASE (conv_id*3+turn)%5 WHEN 0 THEN concat(' sym_', turn, ' and sym_', turn+1) WHEN 1 THEN ' It looks adequate, see sym_3.' WHEN 2 THEN ' None found.' WHEN 3 THEN ' junc_4 is next to sym_2.' ELSE ' There are 12.' END) AS answer, conv_id, turn FROM conversations""")
 register("tcall", """SELECT turn_id, 1 AS seq, 'list_systems_or_lines' AS name, CAST(NULL AS VARCHAR(20)) AS a_id, CAST(NULL AS VARCHAR(20)) AS a_cls, CAST(NULL AS VARCHAR(20)) AS a_fn, CAST(NULL AS VARCHAR(20)) AS a_sub,
@@ -92,6 +92,11 @@ def _(v):
     return lookup.resolve_term(xnode(v), v.term).select("sheet_id", "term_id", "term", "axis", "n_contains")
 
 
+@check("q6_term_matches", "SELECT DISTINCT t.sheet_id, t.term_id, n.id FROM term t JOIN xnode n ON n.sheet_id=t.sheet_id AND contains(lower(n.raw_text),lower(t.term))", **XNODE)
+def _(v):
+    return lookup.term_matches(xnode(v), v.term)
+
+
 IDS = dict(
     aid="SELECT DISTINCT turn_id, unnest(regexp_extract_all(answer,'\\b(?:sym|junc)_\\d+\\b')) AS id FROM turns",
     kid="SELECT turn_id, unnest(regexp_extract_all(question,'\\b(?:sym|junc)_\\d+\\b')) AS id FROM turns UNION SELECT turn_id, unnest(regexp_extract_all(concat_ws(' ',a_id,a_cls,a_fn,a_sub,result),'\\b(?:sym|junc)_\\d+\\b')) FROM tcall",

@@ -46,10 +46,10 @@ def _(v):
     return documents.baseline_rows(documents.baseline_docs(rows)).select("cls", "name", "ap50", "recall")
 
 
-@check("s3_prediction_documents", "SELECT CAST(sheet_id AS VARCHAR) AS sheet_id, cls_id, round(conf,4) AS conf, CAST(x1 AS INT) AS x1, CAST(y2 AS INT) AS y2 FROM det")
+@check("s3_prediction_documents", "SELECT CAST(sheet_id AS VARCHAR) AS sheet_id, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY det_id)-1 AS BIGINT) AS det_id, cls_id, round(conf,4) AS conf, CAST(x1 AS INT) AS x1, CAST(y2 AS INT) AS y2 FROM det")
 def _(v):
     d = v.det.withColumns({"cls_name": F.lit("c"), "width": F.lit(W), "height": F.lit(H)})
-    return documents.prediction_rows(documents.prediction_docs(d, 64).drop("sheet_id")).select("sheet_id", "cls_id", "conf", "x1", "y2")
+    return documents.prediction_rows(documents.prediction_docs(d, 64).drop("sheet_id")).select("sheet_id", "det_id", "cls_id", "conf", "x1", "y2")
 
 
 @check("w2_job_state", "SELECT job_id, arg_max(stage,(ts,seq)) AS stage, round(arg_max(value,(ts,seq)),6) AS value, CAST(count(*) AS BIGINT) AS n_events FROM job_event GROUP BY 1")

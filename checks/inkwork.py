@@ -61,7 +61,7 @@ def _(v):
 
 
 _REACH = ink.touching_offsets(3)
-CLU = dict(NB, jp="SELECT sheet_id, x, y, y*1000000+x AS pid FROM nbr WHERE neighbours>=3",
+CLU = dict(NB, jp="SELECT sheet_id, x, y, CAST(y AS BIGINT)*4294967296+x AS pid FROM nbr WHERE neighbours>=3",
            je="SELECT a.sheet_id, a.pid AS u, b.pid AS v FROM (SELECT *, x//15 AS kx, y//15 AS ky FROM jp) a JOIN (SELECT sheet_id, x, y, pid, x//15+ox AS kx, y//15+oy AS ky FROM jp, (SELECT unnest([-1,0,1]) AS ox) p, (SELECT unnest([-1,0,1]) AS oy) q) b ON b.sheet_id=a.sheet_id AND b.kx=a.kx AND b.ky=a.ky AND a.pid<>b.pid AND abs(a.x-b.x)<=CASE abs(a.y-b.y) "
               + " ".join(f"WHEN {k} THEN {w}" for k, w in _REACH.items()) + " ELSE -1 END",
            jw="SELECT sheet_id, pid, pid AS root FROM jp UNION SELECT w.sheet_id, e.v, w.root FROM jw w JOIN je e ON e.sheet_id=w.sheet_id AND e.u=w.pid AND w.root<e.v",

@@ -103,7 +103,7 @@ def cluster(px: DataFrame, r: int = 3, keys=SHEET) -> DataFrame:
     keys = list(keys)
     reach = touching_offsets(r)
     far = max(reach)
-    d = staged(px.select(*keys, "x", "y", (F.col("y") * 1000000 + F.col("x")).alias("pid")))
+    d = staged(px.select(*keys, "x", "y", (F.col("y").cast("bigint") * (1 << 32) + F.col("x")).alias("pid")))
     a, b = prefixed(d, "a_", keys), prefixed(d, "b_", keys)
     close = F.abs(F.col("a_x") - F.col("b_x")) <= P.lookup(reach, F.abs(F.col("a_y") - F.col("b_y")), F.lit(-1))
     box = [F.col("a_x") - far, F.col("a_y") - far, F.col("a_x") + far, F.col("a_y") + far]

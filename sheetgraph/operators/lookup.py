@@ -99,7 +99,7 @@ def list_tags(nodes: DataFrame, keys=SHEET) -> DataFrame:
 def resolve_term(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
     """Which axis a term (term_id, term) belongs to: node_type, cls_name, tag_function, tag_contains or unknown.
 
-    The ids behind tag_contains come from find_nodes with want_contains.
+    The ids behind tag_contains come from term_matches.
     """
     keys = list(keys)
     cls = nodes.groupBy(*keys, F.col("cls_name").alias("term")).agg(F.min("node_type").alias("cls_node_type"))
@@ -114,6 +114,18 @@ def resolve_term(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
                     F.coalesce("n_contains", F.lit(0).cast("bigint")).alias("n_contains"), advice.alias("recommendation"))
 
 
+def term_matches(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
+    """One row per term and node whose tag text holds the term; sort by text.id_order(id) to list them.
+
+    Distinct terms meet distinct texts of a sheet, and ids are attached afterwards.
+    """
+    keys = list(keys)
+    texts = nodes.filter("raw_text is not null").select(*keys, F.lower("raw_text").alias("raw"), "id")
+    t = terms.select(*keys, F.lower("term").alias("t"), "term_id").distinct()
+    held = t.select(*keys, "t").distinct().join(texts.select(*keys, "raw").distinct(), keys).filter(F.contains("raw", "t"))
+    return t.join(held, [*keys, "t"]).join(texts, [*keys, "raw"]).select(*keys, "term_id", "id").distinct()
+
+
 def expected(nodes: DataFrame, edges: DataFrame, cls_name: str, function: str, focus: str, keys=SHEET) -> DataFrame:
     """Expected answers per sheet as (question, item, value) rows: counts by type, ids by class and by function with their
     loop numbers, and the neighbours of a focus node with provenance."""
