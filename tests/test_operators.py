@@ -228,3 +228,21 @@ def test_path_of_any_length(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(25)], "sheet_id int, u bigint, v bigint")
     pairs = spark.createDataFrame([(1, 0, 0, 25), (1, 1, 0, 99)], "sheet_id int, pair_id int, start bigint, goal bigint")
     assert {r.pair_id: r.hops for r in shortest_path(edges, pairs).collect()} == {0: 25, 1: None}
+
+
+def test_ground_truth_runs_over_adjacent_crossings(spark):
+    from types import SimpleNamespace
+    from checks.graphs import gt_graph
+    # valve 1 - crossings 2, 3, 4 - valve 5 in a row, each crossing cut at a right angle by a line between two more valves
+    at = {i: (100.0 * i, 0.0, "crossing" if i in (2, 3, 4) else "valve") for i in range(1, 6)}
+    at |= {10 * c + k: (100.0 * c, y, "valve") for c in (2, 3, 4) for k, y in ((0, -80.0), (1, 80.0))}
+    edges = [(i, i + 1) for i in range(1, 5)] + [(c, 10 * c + k) for c in (2, 3, 4) for k in (0, 1)]
+    # sheet 2: the same with an odd numbering, a general vertex within the line and a background vertex beside it
+    other = {1: 9, 2: 4, 3: 2, 4: 3, 5: 1}
+    v = [(1, i, l, x, y) for i, (x, y, l) in at.items()] + [(2, other.get(i, i), l, x, y) for i, (x, y, l) in at.items()] + [(2, 50, "general", 250.0, 0.0), (2, 51, "background", 250.0, 9.0)]
+    e = [(1, a, b) for a, b in edges] + [(2, *sorted((other.get(a, a), other.get(b, b)))) for a, b in edges if (a, b) != (2, 3)] + [(2, 4, 50), (2, 2, 50), (2, 9, 51), (2, 1, 51)]
+    views = SimpleNamespace(gt_vertex=spark.createDataFrame(v, "sheet_id long, node_id long, label string, cx double, cy double"), gt_edge=spark.createDataFrame(e, "sheet_id long, u long, v long"))
+    gv, got, apart = gt_graph(views)
+    assert {(r.sheet_id, r.u, r.v) for r in got.collect()} == {(1, 1, 5), (1, 20, 21), (1, 30, 31), (1, 40, 41), (2, 1, 9), (2, 20, 21), (2, 30, 31), (2, 40, 41)}
+    assert gv.filter("sheet_id = 1").count() == 8
+    assert not apart.filter("a = 20 and b = 21 or a = 1 and b = 5").head(1)
