@@ -264,18 +264,21 @@ def _(v):
     return graph.flow(graph.nearest_edge(a, placed(v), v.edge), tips)
 
 
+def path_pairs(v):
+    return v.edge.select("sheet_id", F.col("u").alias("pair_id"), F.col("u").alias("start"), (F.col("u") + 9).alias("goal")).distinct()
+
+
+# the SQL takes one start in ten and paths of ten hops at most, the query all
 @check("g21_shortest_path", """SELECT p.sheet_id, p.pair_id, CAST(min(w.d) AS INT) AS hops FROM pr p LEFT JOIN sp w ON w.sheet_id=p.sheet_id AND w.pair_id=p.pair_id AND w.at=p.goal GROUP BY 1,2""",
        pr="SELECT sheet_id, u AS pair_id, u AS start, u+9 AS goal FROM edge WHERE u%10=0 GROUP BY 1,2,3,4", **{"w_both": "SELECT sheet_id, u AS a, v AS b FROM edge UNION SELECT sheet_id, v, u FROM edge",
        "sp": "SELECT sheet_id, pair_id, start AS at, 0 AS d FROM pr UNION SELECT s.sheet_id, s.pair_id, e.b, s.d+1 FROM sp s JOIN w_both e ON e.sheet_id=s.sheet_id AND e.a=s.at WHERE s.d<10"})
 def _(v):
-    pairs = v.edge.filter("u%10=0").select("sheet_id", F.col("u").alias("pair_id"), F.col("u").alias("start"), (F.col("u") + 9).alias("goal")).distinct()
-    return graph.shortest_path(v.edge, pairs, 10).select("sheet_id", "pair_id", "hops")
+    return graph.shortest_path(v.edge, path_pairs(v)).select("sheet_id", "pair_id", "hops")
 
 
 @check("g21_path_culprits")
 def _(v):
-    pairs = v.edge.filter("u%10=0").select("sheet_id", F.col("u").alias("pair_id"), F.col("u").alias("start"), (F.col("u") + 9).alias("goal")).distinct()
-    paths = graph.shortest_path(v.edge, pairs, 10).filter("path is not null")
+    paths = graph.shortest_path(v.edge, path_pairs(v)).filter("path is not null")
     return graph.culprits(paths, v.branch, crossing_ready(v).filter("node_type='crossing'"))
 
 
