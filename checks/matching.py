@@ -167,9 +167,9 @@ BUCKETS = dict(
 
 @check("j15_failure_buckets", "SELECT sheet_id, gt_id, label, bucket, round(best_iou,6) AS best_iou, best_det FROM fb", **BUCKETS)
 def _(v):
-    return match.failure_buckets(v.det.filter("conf>=0.5"), v.gt, v.ignore_box).select("sheet_id", "gt_id", "label", "bucket", F.round("best_iou", 6).alias("best_iou"), "best_det")
+    return match.failure_buckets(v.det, v.gt, v.ignore_box).select("sheet_id", "gt_id", "label", "bucket", F.round("best_iou", 6).alias("best_iou"), "best_det")
 
 
 @check("j16_wrong_class_top", "SELECT label, best_cls, n, rank FROM (SELECT label, best_cls, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, best_cls) AS INT) AS rank FROM fb WHERE bucket='C' GROUP BY 1,2) q WHERE rank<=8", **BUCKETS)
 def _(v):
-    return match.top_wrong(match.failure_buckets(v.det.filter("conf>=0.5"), v.gt, v.ignore_box))
+    return match.top_wrong(match.failure_buckets(v.det, v.gt, v.ignore_box))

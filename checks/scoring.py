@@ -133,7 +133,7 @@ def _(v):
 FROM (SELECT unnest(['dx','dy','area_ratio']) AS metric, unnest([((p.x1+p.x2)/2-(g.x1+g.x2)/2)/greatest(g.x2-g.x1,1), ((p.y1+p.y2)/2-(g.y1+g.y2)/2)/greatest(g.y2-g.y1,1), (p.x2-p.x1)*(p.y2-p.y1)/greatest((g.x2-g.x1)*(g.y2-g.y1),1)]) AS val
  FROM fb g JOIN det p ON p.sheet_id=g.sheet_id AND p.det_id=g.best_det WHERE g.bucket='B') q GROUP BY 1""", **BUCKETS)
 def _(v):
-    b = match.failure_buckets(v.det.filter("conf>=0.5"), v.gt, v.ignore_box).filter("bucket='B'").select("sheet_id", "gt_id", F.col("best_det").alias("det_id"))
+    b = match.failure_buckets(v.det, v.gt, v.ignore_box).filter("bucket='B'").select("sheet_id", "gt_id", F.col("best_det").alias("det_id"))
     pref = lambda d, p: d.select("sheet_id", p[0], *[F.col(c).alias(p[1] + c) for c in P.BOX])
     pairs = b.join(pref(v.gt, ("gt_id", "g_")), ["sheet_id", "gt_id"]).join(pref(v.det, ("det_id", "p_")), ["sheet_id", "det_id"])
     return metrics.offset_stats(pairs).select("metric", "n", *r6("mean", "std", "p25", "median", "p75", "min", "max", "within"))

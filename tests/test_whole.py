@@ -51,3 +51,14 @@ def test_paths_of_all_starts_and_any_length(run):
     bad = run("g21_path_culprits", edge=("sheet_id long, u long, v long", [(1, *e) for e in edges]), branch=("sheet_id long, u long, v long, branch_id long, branch_type int", branch),
               vertex=("sheet_id long, node_id long, node_type string, " + BOX, vertex))
     assert {(r.pair_id, r.crossing) for r in bad} == {(u, 110) for u, p in want.items() if p and {109, 110, 111} <= set(p)} and 3 in {r.pair_id for r in bad}
+
+
+def test_triage_sees_detections_of_low_confidence(run):
+    at = lambda x, w=10.0: (x, 0.0, x + w, 10.0)
+    gt = [(1, "a", "valve", *at(0.0)), (1, "b", "valve", *at(100.0)), (1, "c", "arrow", *at(200.0)), (1, "d", "valve", *at(300.0)), (1, "e", "valve", *at(400.0)), (1, "f", "valve", *at(500.0))]
+    det = [(1, "pa", 0, 0.3, *at(0.0)), (1, "pb", 0, 0.2, *at(106.0)), (1, "pc", 0, 0.02, *at(200.0)), (1, "pd", 14, 0.1, *at(300.0)), (1, "pf", 0, 0.9, *at(500.0))]
+    views = dict(det=(DET, det), gt=(GT, gt), ignore_box=("sheet_id long, ig_id string, " + BOX, [(1, "i", *at(900.0))]))
+    assert {r.gt_id: r.bucket for r in run("j15_failure_buckets", **views)} == {"a": "TP", "b": "B", "c": "C", "d": "D", "e": "A", "f": "TP"}
+    assert [(r.label, r.best_cls, r.n) for r in run("j16_wrong_class_top", **views)] == [("arrow", 0, 1)]
+    assert {r.metric: (r.n, r.mean) for r in run("m11_offset_stats", **views)} == {"dx": (1, 0.6), "dy": (1, 0.0), "area_ratio": (1, 1.0)}
+    assert {(r.gt_id, r.bucket) for r in run("t10_varied_examples", **views)} == {("a", "TP"), ("b", "B"), ("c", "C"), ("d", "D"), ("e", "A"), ("f", "TP")}
