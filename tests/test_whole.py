@@ -62,3 +62,15 @@ def test_triage_sees_detections_of_low_confidence(run):
     assert [(r.label, r.best_cls, r.n) for r in run("j16_wrong_class_top", **views)] == [("arrow", 0, 1)]
     assert {r.metric: (r.n, r.mean) for r in run("m11_offset_stats", **views)} == {"dx": (1, 0.6), "dy": (1, 0.0), "area_ratio": (1, 1.0)}
     assert {(r.gt_id, r.bucket) for r in run("t10_varied_examples", **views)} == {("a", "TP"), ("b", "B"), ("c", "C"), ("d", "D"), ("e", "A"), ("f", "TP")}
+
+
+def test_tiles_and_images_with_boxes_of_any_label(run):
+    # sheets of one tile each; sheet n holds n boxes, of all labels in turn
+    labels = ["valve", "instrumentation", "arrow"]
+    views = dict(image=("sheet_id long, width int, height int, split string", [(s, 640, 640, "train") for s in range(40)]),
+                 gt=(GT, [(s, f"{s}-{k}", labels[k % 3], 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for s in range(4) for k in range(s)]))
+    empty = {r.sheet_id for r in run("t3_negative_tiles", image=views["image"], gt=(GT, [(99, "z", "arrow", 0.0, 0.0, 1.0, 1.0)]))}
+    valves = (GT, [(s, f"{s}", "valve", 0.0, 0.0, 5.0, 5.0) for s in sorted(empty)[1:]])
+    assert len(empty) > 2 and {r.sheet_id for r in run("t3_negative_tiles", image=views["image"], gt=valves)} == {min(empty)}
+    boxes = {r.metric: (r.n, r.min, r.median, r.max) for r in run("m8_image_stats", **views)}["boxes"]
+    assert boxes == (40, 0.0, 0.0, 3.0)
