@@ -38,7 +38,7 @@ PAIR = dict(TAG, gtt=GT_TAG, pr="""SELECT g.sheet_id, g.node_id, label_status, c
 
 
 def pairs(v):
-    return tags.scored(gt_tags(v), reads(v).filter("node_id%17<>3"), id="node_id")
+    return tags.scored(gt_tags(v), reads(v), id="node_id")
 
 
 @check("p14_tag_display", "SELECT sheet_id, node_id, CASE WHEN parse_status IN ('ok','ok_placeholder') THEN trim(coalesce(tag_function,'')||' '||coalesce(loop_number,'')) WHEN raw_text<>'' THEN '? '||raw_text ELSE '? (unread)' END AS display FROM tag", **TAG)

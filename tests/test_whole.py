@@ -74,3 +74,14 @@ def test_tiles_and_images_with_boxes_of_any_label(run):
     assert len(empty) > 2 and {r.sheet_id for r in run("t3_negative_tiles", image=views["image"], gt=valves)} == {min(empty)}
     boxes = {r.metric: (r.n, r.min, r.median, r.max) for r in run("m8_image_stats", **views)}["boxes"]
     assert boxes == (40, 0.0, 0.0, 3.0)
+
+
+def test_every_read_is_scored(run):
+    # 20 nodes, so each residue of 17 occurs; node 19 has no read, node 18 a wrong one
+    lines = [(1, n, k, float(k), t, 0.9) for n in range(19) for k, t in enumerate(["PT", "1401" if n == 18 else f"{1400 + n}"])]
+    views = dict(ocr_line=("sheet_id long, node_id long, line_no int, y_center double, txt string, conf double", lines),
+                 gt_tag=("sheet_id long, node_id long, function string, loop string, label_status string", [(1, n, "PT", f"{1400 + n}", "ok") for n in range(20)]))
+    row = {r.label_status: r for r in run("x5_exact_match", **views)}["ok"]
+    assert (row.n, row.exact, row.unmatched, row.accuracy) == (20, 18, 1, 0.9)
+    row = run("x4_character_errors", **views)[0]
+    assert (row.edits, row.chars) == (2 + 7, 20 * 7)
