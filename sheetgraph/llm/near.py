@@ -297,10 +297,24 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay when one document of each component stays: the one of smallest id."""
-    label = stored(linked(docs, id, text, width, percent))
-    gone = label.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__gone")).distinct()
+    """The rows of `docs` that stay when one document of each component stays: the one of smallest id. Rows without id stay. Rows that
+    share an id are documents of their own, each by its text; where the smallest id repeats in a component, one of its rows stays."""
+    if docs.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1").isEmpty():
+        label = stored(linked(docs, id, text, width, percent))
+        return _without(docs, label.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__gone")), id)
+    # ids do not tell rows apart: rows are numbered, and the smallest id is looked up afterwards
+    d = stored(docs.withColumn("__row", F.when(F.col(id).isNotNull(), F.monotonically_increasing_id())))
+    rows = d.filter("__row is not null").select("__row", id)
+    label = stored(linked(d, "__row", text, width, percent).filter("n_shingles > 0").select("__row", "component_id"))
+    first = label.join(rows, "__row").groupBy("component_id").agg(F.min(F.struct(id, "__row")).alias("m")).select(F.col("m.__row").alias("stays"))
+    # texts without words have no component; only repeats of id and text are folded
+    blank = d.filter("__row is not null").filter(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\t\n\x0B\f\r]"))
+    first = first.unionByName(blank.groupBy(id, text).agg(F.min("__row").alias("stays")).select("stays"))
+    gone = rows.join(first, F.col("__row") == F.col("stays"), "left_anti").select(F.col("__row").alias("__gone"))
+    return _without(d, gone, "__row").drop("__row")
+
+
+def _without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    gone = stored(gone.distinct())
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if small else gone, docs[id] == F.col("__gone"), "left_anti")
-    again = label.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates([id, text])
+    return docs.join(F.broadcast(gone) if small else gone, docs[id] == F.col("__gone"), "left_anti")

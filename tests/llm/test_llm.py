@@ -246,3 +246,16 @@ def test_pipeline_against_plain_code(spark, docs, rows, none):
     for _, stage in corpus_pipeline.STAGES:
         e = stage(spark, e, "")
     assert e.count() == 0
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_one_of_each_with_repeated_ids(spark, twice):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, say(1)), (3, say(1) + " more"), (None, say(2)), (None, say(2)), (5, ""), (6, " ")]
+    want = [(1, say(1)), (None, say(2)), (None, say(2)), (5, ""), (6, " ")]
+    if twice:  # 3 stands for a near copy and for a text of its own, 4 for one text twice, 7 for two near copies
+        rows += [(3, say(3)), (4, say(4)), (4, say(4)), (5, ""), (7, say(7)), (7, say(7) + " more")]
+        want += [(3, say(3)), (4, say(4))]
+    got = [tuple(x) for x in near.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted([x for x in got if x[0] != 7], key=key) == sorted(want, key=key) and sum(x[0] == 7 for x in got) == twice
