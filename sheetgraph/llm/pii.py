@@ -3,9 +3,12 @@ r"""Personal data: generators propose spans, boosted trees select them.
 Four base patterns (fixed, with a check each) give certain spans. Two further generators propose overlapping spans that the base
 patterns miss because they do not retry inside a failing match: a number block next to other digits, a phone number without
 the international prefix, an address with "[at]" and "[dot]". Every proposal, base matches that fail their check included, gets a small
-vector of format and context features. Boosted trees learn from all proposals which vectors belong to certain spans; per kind the
-lowest threshold is taken at which selected proposals are certain spans in at least `PRECISION` of the cases (with a Laplace prior).
-Selected proposals that do not overlap a certain span are added.
+vector of format and context features. Boosted trees learn which vectors belong to certain spans. Positive are proposals that lie on a
+certain span of their kind and pass; negative are others that fail their format check or are contradicted by their context: letters or
+digits touch them, or a dot or dash joins a phone number to more digits. What passes beside the certain spans has no label and is not
+counted, so how often a form is written never decides whether it is taken. Per kind the threshold lies halfway between the lowest score
+down to which labelled proposals are positive in at least `PRECISION` of the cases (with a Laplace prior) and the next lower score of a
+labelled one. Selected proposals that do not overlap a certain span are added.
 
 Training needs counts per feature vector only. Features have few values each, so there are at most `MAX_CELLS` vectors however
 large the corpus; these counts, over all documents, are what the driver sees.
@@ -37,7 +40,7 @@ BASE = {
 }
 # further proposals: (kind, pattern); alternatives of one generator are tried in order
 GENERATORS = {
-    "number": r"(?<![0-9])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{2,4}|\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
+    "number": r"(?<![0-9])(?:[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{2,4}|(?:\+?[0-9]{1,3}[\x20.-]?|\+)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
               r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9])",
     "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}",
 }
@@ -80,12 +83,15 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike("^[A-Za-z0-9]$"), 2).otherwise(1)
 
 
-def _described(kind: Column, x: Column, spelled: int) -> Column:
-    """A proposal with its features. A check that only spelled addresses lack counts as passed."""
+def _described(kind: Column, x: Column, spelled: int, base: bool = True) -> Column:
+    """A proposal with its features. A check that only spelled addresses lack counts as passed. Without a prefix, a phone number that goes
+    on over a dot or dash is part of a longer number and fails; base matches have their fixed check only."""
     digits = F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
     cue = reduce(lambda a, k: a.when(kind == k, x["l"].rlike("(?i)" + CUES[k])), KINDS[1:], F.when(kind == KINDS[0], x["l"].rlike("(?i)" + CUES["email"])))
     seps = F.length(F.regexp_replace(x["m"], "[A-Za-z0-9]", ""))
     ok = F.coalesce(passes(kind, x["m"]), F.lit(False))
+    if not base:
+        ok = ok & ~((kind == "phone") & (x["l"].rlike("[0-9][.-]$") | x["r"].rlike("^[.-][0-9]")))
     f = {"kind": reduce(lambda a, k: a.when(kind == k, KINDS.index(k)), KINDS[1:], F.when(kind == KINDS[0], 0)),
          "digits": F.when(digits < 7, 0).when(digits < 10, 1).when(digits < 13, 2).when(digits < 16, 3).when(digits == 16, 4).otherwise(5),
          "check": ok.cast("int"), "left": _side(F.right(x["l"], F.lit(1))), "right": _side(F.left(x["r"], F.lit(1))),
@@ -98,13 +104,13 @@ def _kind_of_number(m: Column) -> Column:
 
 
 def proposed(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with `base` (spans that pass, by start and kind) and `more` (other proposals with features and the label
-    whether they overlap a base span of their kind)."""
+    """The kept columns with `base` (spans that pass, by start and kind) and `more` (all proposals with features, and whether they
+    overlap a base span of their kind)."""
     t = text_of(text)
     of_kind = lambda k: F.transform(matches(t, BASE[k]), lambda x: _described(F.lit(k), x, 0))
     tried = F.concat(*[of_kind(k) for k in KINDS])
-    extra = F.concat(F.transform(matches(t, GENERATORS["number"]), lambda x: let(_kind_of_number(x["m"]), lambda k: _described(k, x, 0))),
-                     F.transform(matches(t, GENERATORS["spelled"]), lambda x: _described(F.lit("email"), x, 1)))
+    extra = F.concat(F.transform(matches(t, GENERATORS["number"]), lambda x: let(_kind_of_number(x["m"]), lambda k: _described(k, x, 0, False))),
+                     F.transform(matches(t, GENERATORS["spelled"]), lambda x: _described(F.lit("email"), x, 1, False)))
     # texts without a digit, an @ or a spelled address have no proposals
     any_ = t.rlike(r"[0-9@]|[\[(]at[\])]")
     d = docs.select(*[c for c in (keep if keep is not None else docs.columns) if c not in ("tried", "extra")], F.when(any_, tried).alias("tried"), F.when(any_, extra).alias("extra"))
@@ -119,8 +125,11 @@ def proposed(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def cells(proposals: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
-    """(feature vector, positives, all) over all proposals; at most MAX_CELLS entries."""
-    x = proposals.select(F.explode("more").alias("x")).select("x.f", F.col("x.y").cast("bigint").alias("y"))
+    """(feature vector, positives, positives and negatives) over all labelled proposals; at most MAX_CELLS entries."""
+    x = proposals.select(F.explode("more").alias("x")).select("x.f", "x.y")
+    clean = (F.col("f.check") == 1) & (F.col("f.left") < 2) & (F.col("f.right") < 2)
+    # format and context speak for both positives and unlabelled ones, so no vector has positives and negatives
+    x = x.filter(clean == F.col("y")).select("f", F.col("y").cast("bigint").alias("y"))
     return sorted((tuple(r["f"]), r["p"], r["n"]) for r in x.groupBy("f").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect())
 
 
@@ -178,7 +187,8 @@ def value(vector, start: float, trees: list) -> float:
 
 
 def thresholds(table, start: float, trees: list) -> list[float]:
-    """Per kind the lowest score at which selected proposals reach PRECISION; infinite if none does."""
+    """Per kind a score between the lowest at which labelled proposals reach PRECISION and the next lower of a labelled one, which may be
+    none; infinite if PRECISION is not reached."""
     out = []
     for k in range(len(KINDS)):
         rows = sorted(((value(v, start, trees), p, n) for v, p, n in table if v[0] == k), reverse=True)
@@ -186,7 +196,7 @@ def thresholds(table, start: float, trees: list) -> list[float]:
         for i, (s, p, n) in enumerate(rows):
             hits, seen = hits + p, seen + n
             if (i + 1 == len(rows) or rows[i + 1][0] < s) and (hits + 1) / (seen + 2) >= PRECISION:
-                cut = s
+                cut = (s + rows[i + 1][0]) / 2 if i + 1 < len(rows) else -math.inf
         out.append(cut)
     return out
 
