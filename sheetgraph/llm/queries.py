@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, quality, shards, tokens, toxicity
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, quality, shards, tokens, toxicity, warc
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -125,3 +125,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("t").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op13_warc_captures", """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return c.select(warc.field("metadata", "page-id").cast("bigint").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                    F.col("kind").alias("record_type"), F.when(F.col("kind") == "revisit", warc.field("first", "page-id").cast("bigint")).alias("refers_to"))
