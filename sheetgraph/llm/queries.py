@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, quality, shards, tokens, toxicity, warc
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, prefixes, quality, shards, tokens, toxicity, warc
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -127,6 +127,27 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query("op12_prefix_trie", r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') || chr(10) || coalesce(text, '') AS tok, CAST(length(coalesce(text, '')) AS BIGINT) AS len,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS id FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(range(8 * length(id)), lambda a, i: xor((CASE WHEN i % 8 = 0 THEN xor(a, CAST(ascii(id[i // 8 + 1]) AS BIGINT)) ELSE a END) >> 1,
+  3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(a, CAST(ascii(id[i // 8 + 1]) AS BIGINT)) ELSE a END) & 1)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 6 AS h FROM i),
+r AS (SELECT h.conv_id, tok, len, 0 AS part, k FROM h JOIN t ON t.conv_id = h.base AND k <= h UNION ALL SELECT h.conv_id, tok, len, 1, k FROM h JOIN t ON t.conv_id = h.conv_id AND k > h),
+s AS (SELECT conv_id, md5(tok) AS tok, len, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d FROM r),
+p AS (SELECT conv_id, d, len, string_agg(tok, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+e AS (SELECT conv_id, max(d) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT path, d, any_value(len) AS len, min(p.conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (d = depth) AS ends
+  FROM p JOIN e ON e.conv_id = p.conv_id GROUP BY path, d),
+c AS (SELECT n.*, q.conv_id AS parent, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND left(x.path, length(n.path)) = n.path) AS n_children FROM n LEFT JOIN n q ON q.d = n.d - 1 AND q.path = left(n.path, 32 * (n.d - 1))),
+u AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.len) AS saved FROM c a JOIN c b ON b.d >= a.d AND left(b.path, 32 * a.d) = a.path GROUP BY a.path)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM c JOIN u USING (path)""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefixes.trie(prefixes.grafted(prefixes.sequences(given)))
+
+
 @query("op13_warc_captures", """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
