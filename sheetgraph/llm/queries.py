@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, prefixes, quality, shards, tokens, toxicity, warc
+from sheetgraph.llm import bpe, chat, fingerprints, mixing, near, pii, prefixes, quality, shards, signatures, tokens, toxicity, warc
 from sheetgraph.llm.native import text_of, word_count
 from sheetgraph.llm.tables import documents, stored
 
@@ -127,6 +127,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+TERM, UPPER, LOWER = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op11_lexical_search", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {UPPER}, {LOWER}), {TERM}) AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+f AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+q AS (SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, {UPPER}, {LOWER}), {TERM})) AS t FROM benchmark)),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+x AS (SELECT i, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN f USING (t) JOIN n USING (r), s GROUP BY i, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op12_prefix_trie", r"""
 WITH t AS (SELECT conv_id, coalesce(role, '') || chr(10) || coalesce(text, '') AS tok, CAST(length(coalesce(text, '')) AS BIGINT) AS len,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),

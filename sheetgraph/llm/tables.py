@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheetgraph.operators.stage import staged
+from sheetgraph.operators.stage import shared_folder, staged
 
 SPREAD = 256  # parts into which the rows of one key are dealt
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows written once as a table of the shared folder and read back: lineage ends here, whatever executor is lost."""
-    return staged(df)
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """The same rows written once as a table of the shared folder and read back: lineage ends here, whatever executor is lost.
+    `group_bytes` bounds row groups where rows are so large that a reader should hold few at a time."""
+    if group_bytes is None:
+        return staged(df)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 8).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
