@@ -150,25 +150,90 @@ def test_contraction_joins_runs_not_taps(spark):
     assert allpairs == set(got) | {(2, 3)}
 
 
-def test_pieces_equal_one_sequential_pass(spark):
-    """Contracting piece by piece gives the edges of contracting the whole sheet in id order."""
-    rng = random.Random(21)
+def walked(edges, gone, tol=28.0):
+    """Connectors taken away one by one in id order; edges as {pair: (start, points or None, backbone)}."""
+    live = dict(edges)
+
+    def leaving(pair, x):
+        start, pts, _ = live[pair]
+        return pts if pts is None or start == x else pts[::-1]
+
+    def unit(pts):
+        if pts is None or len(pts) < 2:
+            return None
+        (r0, c0), (r1, c1) = pts[0], pts[min(5, len(pts) - 1)]
+        size = math.hypot(r1 - r0, c1 - c0)
+        return ((r1 - r0) / size, (c1 - c0) / size) if size >= 0.5 else None
+
+    for x in sorted(gone):
+        near = sorted(n for p in live if x in p for n in p if n != x)
+        tap = {n: live[frozenset((x, n))][2] is False for n in near}
+        head = {n: unit(leaving(frozenset((x, n)), x)) for n in near}
+        main = [n for n in near if not tap[n] and head[n]]
+        want = []
+        if len(near) == 2:
+            want = [(*near, not any(tap.values()))]
+        elif len(near) > 2:
+            runs, busy = [], set()
+            for d, a, b in sorted((head[a][0] * head[b][0] + head[a][1] * head[b][1], a, b) for a, b in itertools.combinations(main, 2)):
+                if d <= math.cos(math.radians(180 - tol)) and not busy & {a, b}:
+                    runs.append((a, b))
+                    busy |= {a, b}
+            want = [(a, b, True) for a, b in runs] + [(n, end, False) for n in near if n not in busy and (tap[n] or head[n]) for run in runs for end in run]
+            want += [(n, m, None) for n in near if not tap[n] and not head[n] for m in near if m != n]
+            if not runs:
+                want = [(a, b, None) for a, b in itertools.combinations(near, 2)]
+        new = {}
+        for a, b, flag in want:
+            if frozenset((a, b)) not in live and frozenset((a, b)) not in new:
+                one, two = leaving(frozenset((x, a)), a), leaving(frozenset((x, b)), x)
+                new[frozenset((a, b))] = (a, None if one is None or two is None else one + (two[1:] if one[-1] == two[0] else two), flag)
+        live = {p: e for p, e in {**live, **new}.items() if x not in p}
+    return live
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_rounds_equal_the_walk_in_id_order(spark, seed):
+    rng = random.Random(seed)
     pos = {i: (rng.randrange(300), rng.randrange(300)) for i in range(30)}
     pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})
-    gone = [i for i in range(30) if i % 3 == 0]
-    adj = {}
-    for i, (u, v) in enumerate(pairs):
-        e = contract.Edge(u, np.array(line(pos[u], pos[v])), i, [i], None, None)
-        adj.setdefault(u, {})[v] = adj.setdefault(v, {})[u] = e
-    contract.drop_connectors(adj, gone, math.cos(math.radians(152.0)))
-    want = {(a, b): (None if e.route is None else len(e.route), e.backbone) for a in adj for b, e in adj[a].items() if a < b}
-    rows = [(1, i, u, v, [dict(r=r, c=c) for r, c in line(pos[u], pos[v])]) for i, (u, v) in enumerate(pairs)]
-    e = spark.createDataFrame(rows, "sheet_id long, branch_id long, u long, v long, coords array<struct<r:long,c:long>>")
-    v = spark.createDataFrame([(1, i, "connector" if i in gone else "valve") for i in pos], "sheet_id long, node_id long, node_type string")
-    got = {(r.u, r.v): (None if r.coords is None else len(r.coords), r.backbone) for r in contract.connectors(v, e).collect()}
+    gone, given = [i for i in range(30) if i % 3], {}
+    for u, v in pairs:
+        start = rng.choice([u, v])
+        given[frozenset((u, v))] = (start, None if rng.random() < 0.15 else line(pos[start], pos[u + v - start], rng.choice([2, 4, 9])), rng.choice([None, None, False]))
+    # a run of connectors numbered at random between two valves, and one that hangs off a connector of smaller number
+    for run in (rng.sample(range(1000, 1040), 40), list(range(1040, 1060))):
+        ends = [0] + run + [3] if run[0] < 1040 else [1] + run + [6]
+        gone += run
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            given[frozenset((a, b))] = (a, line((k, 0), (k + 1, 7), 3), None)
+    want = {tuple(sorted(p)): e for p, e in walked(given, gone).items()}
+    rows = [(1, i, *sorted(p), s, sum(p) - s, pts and [dict(r=r, c=c) for r, c in pts], flag) for i, (p, (s, pts, flag)) in enumerate(given.items())]
+    e = spark.createDataFrame(rows, "sheet_id long, branch_id long, u long, v long, route_u long, route_v long, coords array<struct<r:long,c:long>>, backbone boolean")
+    v = spark.createDataFrame([(1, i, "connector" if i in gone else "valve") for i in {x for p in given for x in p}], "sheet_id long, node_id long, node_type string")
+    got = {(r.u, r.v): (r.route_u, r.coords and [tuple(c) for c in r.coords], r.backbone) for r in contract.connectors(v, e).collect()}
     assert got == want
 
 
+def test_long_runs_take_few_rounds(spark, monkeypatch):
+    n, calls = 400, []
+    monkeypatch.setattr(contract.Round, "settled", lambda *a, f=contract.Round.settled: calls.append(1) or f(*a))
+    e = spark.createDataFrame([(1, i, f"junc_{i}", f"junc_{i + 1}", [dict(r=0, c=i), dict(r=0, c=i + 1)]) for i in range(1, n)] + [(1, 0, "sym_0", "junc_1", [dict(r=0, c=0), dict(r=0, c=1)]), (1, n, f"junc_{n}", "sym_9", [dict(r=0, c=n), dict(r=0, c=n + 1)])],
+                              "sheet_id long, branch_id long, u string, v string, coords array<struct<r:long,c:long>>")
+    v = spark.createDataFrame([(1, f"junc_{i}", "connector") for i in range(1, n + 1)] + [(1, "sym_0", "valve"), (1, "sym_9", "valve")], "sheet_id long, node_id string, node_type string")
+    r, = contract.connectors(v, e).collect()
+    assert (r.u, r.v, r.backbone, len(r.coords), sorted(r.parts)) == ("sym_0", "sym_9", True, n + 2, list(range(n + 1))) and len(calls) < 30
+    assert [c.c for c in r.coords] in (list(range(n + 2)), list(range(n + 1, -1, -1)))
+
+
+def test_crossings_make_no_way_through_two(spark):
+    """An edge made at one crossing has no branch, so it ends at the next; the smaller crossing provides a shared edge."""
+    v = spark.createDataFrame([(1, i, "valve", None) for i in (0, 1, 2)] + [(1, 8, "crossing", [dict(a=0, b=1)]), (1, 9, "crossing", [dict(a=1, b=2), dict(a=3, b=4)]), (1, 10, "crossing", [dict(a=5, b=6)])],
+                              "sheet_id long, node_id long, node_type string, pass_pairs array<struct<a:long,b:long>>")
+    e = spark.createDataFrame([(1, 0, 0, 8), (1, 1, 8, 9), (1, 2, 1, 9), (1, 3, 0, 9), (1, 4, 2, 9), (1, 5, 0, 10), (1, 6, 2, 10)], "sheet_id long, branch_id long, u long, v long")
+    assert {(r.u, r.v) for r in contract.crossings(v, e).collect()} == {(0, 2)}
+
+
 def test_crossing_passes_declared_branches_only(spark):
     v = spark.createDataFrame([(1, i, "valve", None) for i in (0, 1, 2, 3)] + [(1, 9, "crossing", [dict(a=0, b=1), dict(a=2, b=3)])],
                               "sheet_id long, node_id long, node_type string, pass_pairs array<struct<a:long,b:long>>")
