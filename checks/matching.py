@@ -160,7 +160,7 @@ def _(v):
 
 BUCKETS = dict(
     gs=f"SELECT * FROM gt g WHERE label IN ('valve','arrow') AND NOT EXISTS (SELECT 1 FROM ignore_box i WHERE i.sheet_id=g.sheet_id AND {iou('g','i')}>=0.5)",
-    ov=f"SELECT g.sheet_id, g.gt_id, d.det_id, d.cls_id, {iou('d','g')} AS iou, CASE g.label WHEN 'valve' THEN d.cls_id<=13 ELSE d.cls_id=23 END AS own FROM gs g JOIN det d ON d.sheet_id=g.sheet_id AND d.conf>=0.5 AND {inter('d','g')}>0",
+    ov=f"SELECT g.sheet_id, g.gt_id, d.det_id, d.cls_id, {iou('d','g')} AS iou, CASE g.label WHEN 'valve' THEN d.cls_id<=13 ELSE d.cls_id=23 END AS own FROM gs g JOIN det d ON d.sheet_id=g.sheet_id AND {inter('d','g')}>0",
     best="SELECT sheet_id, gt_id, max(CASE WHEN own THEN iou END) AS own_iou, max(iou) AS iou, arg_max(det_id,(iou,det_id)) AS best_det, arg_max(cls_id,(iou,det_id)) AS best_cls FROM ov GROUP BY 1,2",
     fb="SELECT g.sheet_id, g.gt_id, g.label, g.x1,g.y1,g.x2,g.y2, CASE WHEN coalesce(own_iou,0)>=0.5 THEN 'TP' WHEN coalesce(iou,0)<0.1 THEN 'A' WHEN iou<0.5 THEN 'B' WHEN g.label='valve' AND best_cls IN (14,15,16,17,18,24) THEN 'D' ELSE 'C' END AS bucket, coalesce(iou,0) AS best_iou, best_det, best_cls FROM gs g LEFT JOIN best b ON b.sheet_id=g.sheet_id AND b.gt_id=g.gt_id")
 

@@ -34,7 +34,7 @@ def gt_tags(v):
 
 
 PAIR = dict(TAG, gtt=GT_TAG, pr="""SELECT g.sheet_id, g.node_id, label_status, coalesce(upper(trim(function||' '||loop)),'') AS want, coalesce(upper(trim(t.tag_function||' '||t.loop_number)),'') AS got, CASE WHEN t.node_id IS NULL THEN 0 ELSE 1 END AS matched
- FROM gtt g LEFT JOIN (SELECT * FROM tag WHERE node_id%17<>3) t ON t.sheet_id=g.sheet_id AND t.node_id=g.node_id WHERE label_status<>'unreadable'""")
+ FROM gtt g LEFT JOIN tag t ON t.sheet_id=g.sheet_id AND t.node_id=g.node_id WHERE label_status<>'unreadable'""")
 
 
 def pairs(v):

@@ -114,7 +114,7 @@ def _(v):
 
 
 @check("m8_image_stats", """SELECT metric, CAST(count(*) AS BIGINT) AS n, min(val) AS min, quantile_cont(val,0.5) AS median, max(val) AS max FROM (
- SELECT unnest(['width','height','boxes']) AS metric, unnest([CAST(width AS DOUBLE), CAST(height AS DOUBLE), CAST(coalesce(n,0) AS DOUBLE)]) AS val FROM image i LEFT JOIN (SELECT sheet_id, count(*) AS n FROM gt WHERE label='arrow' GROUP BY 1) b ON b.sheet_id=i.sheet_id) q GROUP BY 1""")
+ SELECT unnest(['width','height','boxes']) AS metric, unnest([CAST(width AS DOUBLE), CAST(height AS DOUBLE), CAST(coalesce(n,0) AS DOUBLE)]) AS val FROM image i LEFT JOIN (SELECT sheet_id, count(*) AS n FROM gt GROUP BY 1) b ON b.sheet_id=i.sheet_id) q GROUP BY 1""")
 def _(v):
     return metrics.image_stats(v.image, v.gt).select("metric", "n", "min", "median", "max")
 
