@@ -80,7 +80,17 @@ def _(v):
     return e.select("sheet_id", "u", "v", "branch_id", "via", "backbone", F.size("coords").alias("n_points"), F.size("parts").alias("n_parts"))
 
 
-@check("g6_crossing_contraction")
+DECLARED = dict(
+    g6_end="SELECT sheet_id, u AS x, v AS n, branch_id, sx AS px, sy AS py FROM branch UNION ALL SELECT sheet_id, v, u, branch_id, tx, ty FROM branch",
+    g6_leg="SELECT e.*, row_number() OVER (PARTITION BY e.sheet_id, e.x ORDER BY branch_id)-1 AS i FROM g6_end e JOIN vertex c ON c.sheet_id=e.sheet_id AND c.node_id=e.x AND c.node_type='crossing'",
+    g6_made="""SELECT a.sheet_id, least(a.n,b.n) AS u, greatest(a.n,b.n) AS v, a.x, a.i, CAST(50-CASE WHEN a.px=b.px AND a.py=b.py THEN 1 ELSE 0 END AS INT) AS n_points FROM g6_leg a JOIN g6_leg b ON b.sheet_id=a.sheet_id AND b.x=a.x AND b.i=a.i+1 AND a.i%2=0
+ JOIN vertex p ON p.sheet_id=a.sheet_id AND p.node_id=a.n AND p.node_type<>'crossing' JOIN vertex q ON q.sheet_id=b.sheet_id AND q.node_id=b.n AND q.node_type<>'crossing' WHERE a.n<>b.n""",
+    g6_old="SELECT b.sheet_id, b.u, b.v, b.branch_id, CAST(NULL AS VARCHAR) AS via, CAST(25 AS INT) AS n_points FROM branch b JOIN vertex p ON p.sheet_id=b.sheet_id AND p.node_id=b.u AND p.node_type<>'crossing' JOIN vertex q ON q.sheet_id=b.sheet_id AND q.node_id=b.v AND q.node_type<>'crossing'")
+
+
+# at a crossing the first branch goes with the second, the third with the fourth
+@check("g6_crossing_contraction", """SELECT * FROM g6_old UNION ALL SELECT sheet_id, u, v, CAST(NULL AS BIGINT) AS branch_id, 'crossing' AS via, arg_min(n_points, (x, i)) AS n_points FROM g6_made m
+ WHERE NOT EXISTS (SELECT 1 FROM g6_old o WHERE o.sheet_id=m.sheet_id AND o.u=m.u AND o.v=m.v) GROUP BY 1,2,3""", **DECLARED)
 def _(v):
     e = contract.crossings(crossing_ready(v), v.branch)
     return e.select("sheet_id", "u", "v", "branch_id", "via", F.size("coords").alias("n_points"))
@@ -105,19 +115,33 @@ def _(v):
     return graph.crossing_pairs(gv.filter("label='crossing'"), v.gt_edge, gv).withColumn("passes", F.col("passes").cast("int"))
 
 
-# ground truth without adjacent crossings: with edges between crossings left out, one step is the whole contraction
+# ground truth round by round: crossings without a smaller one beside them are settled together, edges between other vertices leave
+def rounds_sql() -> str:
+    one = crossings_sql("cur", "i_")
+    one["i_nb"] = one["i_nb"].replace("c.label='crossing'", "c.label='crossing' AND NOT EXISTS (SELECT 1 FROM wait w WHERE w.sheet_id=e.sheet_id AND w.x=e.a)")
+    inner = ",\n ".join(f"{n} AS ({b})" for n, b in one.items())
+    return f"""SELECT 0 AS k, 'e' AS kind, sheet_id, CAST(NULL AS BIGINT) AS crossing, u, v, false AS passes FROM k_left
+ UNION ALL SELECT * FROM (WITH cur AS (SELECT r.k, r.sheet_id, r.u, r.v FROM gt_round r WHERE r.kind='e' AND EXISTS (SELECT 1 FROM gt_vertex c WHERE c.sheet_id=r.sheet_id AND c.node_id IN (r.u, r.v) AND c.label='crossing')),
+ wait AS (SELECT DISTINCT e.sheet_id, e.v AS x FROM cur e JOIN gt_vertex a ON a.sheet_id=e.sheet_id AND a.node_id=e.u AND a.label='crossing' JOIN gt_vertex b ON b.sheet_id=e.sheet_id AND b.node_id=e.v AND b.label='crossing'),
+ {inner},
+ gone AS (SELECT DISTINCT sheet_id, x FROM i_nb),
+ step AS (SELECT max(k)+1 AS k FROM cur)
+ SELECT k, 'p' AS kind, sheet_id, crossing, a AS u, b AS v, passes FROM i_pairs, step
+ UNION ALL SELECT k, 'e', sheet_id, NULL, u, v, false FROM step, (SELECT sheet_id, u, v FROM cur e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.sheet_id=e.sheet_id AND g.x IN (e.u, e.v))
+  UNION SELECT sheet_id, least(a,b), greatest(a,b) FROM i_pairs WHERE passes) z) y"""
+
+
 GTC = dict(
     gv="SELECT * FROM gt_vertex WHERE label<>'background'",
     ge="SELECT e.sheet_id, e.u, e.v FROM gt_edge e JOIN gv a ON a.sheet_id=e.sheet_id AND a.node_id=e.u JOIN gv b ON b.sheet_id=e.sheet_id AND b.node_id=e.v",
     **elim("gv", "ge", "'connector','general'", "label", "k_"),
-    gl="SELECT e.* FROM k_left e JOIN gv a ON a.sheet_id=e.sheet_id AND a.node_id=e.u JOIN gv b ON b.sheet_id=e.sheet_id AND b.node_id=e.v WHERE NOT (a.label='crossing' AND b.label='crossing')",
-    **crossings_sql("gl", "x_"),
-    gtc="SELECT e.sheet_id, e.u, e.v FROM gl e JOIN gv a ON a.sheet_id=e.sheet_id AND a.node_id=e.u JOIN gv b ON b.sheet_id=e.sheet_id AND b.node_id=e.v WHERE a.label<>'crossing' AND b.label<>'crossing' UNION SELECT sheet_id, least(a,b), greatest(a,b) FROM x_pairs WHERE passes",
-    sep="SELECT sheet_id, a, b FROM x_pairs WHERE NOT passes")
+    gt_round=rounds_sql(),
+    gtc="SELECT DISTINCT r.sheet_id, r.u, r.v FROM gt_round r JOIN gv a ON a.sheet_id=r.sheet_id AND a.node_id=r.u JOIN gv b ON b.sheet_id=r.sheet_id AND b.node_id=r.v WHERE kind='e' AND a.label<>'crossing' AND b.label<>'crossing'",
+    sep="SELECT sheet_id, u AS a, v AS b FROM gt_round WHERE kind='p' AND NOT passes")
 
 
 def gt_graph(v):
-    """Contracted ground truth: vertices, edges and separated pairs. Lines run on over any number of adjacent crossings, which the SQL above cuts."""
+    """Contracted ground truth: vertices, edges and separated pairs. Lines run on over any number of adjacent crossings."""
     gv, edges, pairs = graph.gt_contracted(v.gt_vertex, v.gt_edge)
     return gv, edges, pairs.filter("not passes")
 
@@ -127,7 +151,7 @@ def _(v):
     return gt_graph(v)[1].select("sheet_id", "u", "v")
 
 
-@check("g8_gt_contracted_whole")
+@check("g8_gt_contracted_whole", "SELECT sheet_id, u, v FROM gtc", **GTC)
 def _(v):
     return graph.gt_contracted(v.gt_vertex, v.gt_edge)[1].select("sheet_id", "u", "v")
 
@@ -268,15 +292,23 @@ def path_pairs(v):
     return v.edge.select("sheet_id", F.col("u").alias("pair_id"), F.col("u").alias("start"), (F.col("u") + 9).alias("goal")).distinct()
 
 
-# the SQL takes one start in ten and paths of ten hops at most, the query all
-@check("g21_shortest_path", """SELECT p.sheet_id, p.pair_id, CAST(min(w.d) AS INT) AS hops FROM pr p LEFT JOIN sp w ON w.sheet_id=p.sheet_id AND w.pair_id=p.pair_id AND w.at=p.goal GROUP BY 1,2""",
-       pr="SELECT sheet_id, u AS pair_id, u AS start, u+9 AS goal FROM edge WHERE u%10=0 GROUP BY 1,2,3,4", **{"w_both": "SELECT sheet_id, u AS a, v AS b FROM edge UNION SELECT sheet_id, v, u FROM edge",
-       "sp": "SELECT sheet_id, pair_id, start AS at, 0 AS d FROM pr UNION SELECT s.sheet_id, s.pair_id, e.b, s.d+1 FROM sp s JOIN w_both e ON e.sheet_id=s.sheet_id AND e.a=s.at WHERE s.d<10"})
+# distances from every goal, then the way from each start to its smallest neighbour that is nearer
+PATHS = dict(
+    g21_pair="SELECT DISTINCT sheet_id, u AS pair_id, u AS start, u+9 AS goal FROM edge",
+    g21_both="SELECT sheet_id, u AS a, v AS b FROM edge UNION SELECT sheet_id, v, u FROM edge",
+    g21_far="(sheet_id, goal, spot, d) USING KEY (sheet_id, goal, spot) AS SELECT DISTINCT sheet_id, goal, goal AS spot, 0 AS d FROM g21_pair UNION SELECT s.sheet_id, s.goal, e.b, s.d+1 FROM g21_far s JOIN g21_both e ON e.sheet_id=s.sheet_id AND e.a=s.spot WHERE NOT EXISTS (SELECT 1 FROM recurring.g21_far r WHERE r.sheet_id=s.sheet_id AND r.goal=s.goal AND r.spot=e.b)",
+    g21_way="SELECT sheet_id, pair_id, goal, 0 AS k, start AS spot FROM g21_pair UNION ALL SELECT p.sheet_id, p.pair_id, p.goal, p.k+1, min(e.b) FROM g21_way p JOIN g21_far a ON a.sheet_id=p.sheet_id AND a.goal=p.goal AND a.spot=p.spot JOIN g21_both e ON e.sheet_id=p.sheet_id AND e.a=p.spot JOIN g21_far b ON b.sheet_id=p.sheet_id AND b.goal=p.goal AND b.spot=e.b AND b.d=a.d-1 GROUP BY 1,2,3,4")
+
+
+@check("g21_shortest_path", "SELECT p.sheet_id, p.pair_id, CAST(w.d AS INT) AS hops FROM g21_pair p LEFT JOIN g21_far w ON w.sheet_id=p.sheet_id AND w.goal=p.goal AND w.spot=p.start", **PATHS)
 def _(v):
     return graph.shortest_path(v.edge, path_pairs(v)).select("sheet_id", "pair_id", "hops")
 
 
-@check("g21_path_culprits")
+# each edge has one branch, numbered by its ends
+@check("g21_path_culprits", """SELECT DISTINCT sheet_id, pair_id, spot AS crossing FROM (SELECT s.*, least(s.spot,bf)*1000000+greatest(s.spot,bf) AS b1, least(s.spot,af)*1000000+greatest(s.spot,af) AS b2
+  FROM (SELECT *, lag(spot) OVER o AS bf, lead(spot) OVER o AS af FROM g21_way WINDOW o AS (PARTITION BY sheet_id, pair_id ORDER BY k)) s JOIN vertex c ON c.sheet_id=s.sheet_id AND c.node_id=s.spot AND c.node_type='crossing' WHERE bf IS NOT NULL AND af IS NOT NULL) q
+ WHERE NOT EXISTS (SELECT 1 FROM g6_leg a JOIN g6_leg b ON b.sheet_id=a.sheet_id AND b.x=a.x AND b.i=a.i+1 AND a.i%2=0 WHERE a.sheet_id=q.sheet_id AND a.x=q.spot AND a.branch_id=least(b1,b2) AND b.branch_id=greatest(b1,b2))""", **PATHS, **{k: DECLARED[k] for k in ("g6_end", "g6_leg")})
 def _(v):
     paths = graph.shortest_path(v.edge, path_pairs(v)).filter("path is not null")
     return graph.culprits(paths, v.branch, crossing_ready(v).filter("node_type='crossing'"))

@@ -109,8 +109,14 @@ def closure(sql: str, which: int, extra: dict[str, str] | None = None) -> list[t
 
 
 def oracle(sql: str, **ctes: str) -> str:
-    """Final SQL for the oracle with every named view, and the given extra CTEs, in front."""
-    parts = [f"{n} AS {'' if n in _names(b) else 'MATERIALIZED '}(\n{b}\n)" for n, b in closure(sql, 1, ctes)]
+    """Final SQL for the oracle with every named view, and the given extra CTEs, in front. A text that begins with its columns in
+    brackets and `USING KEY` is a recursion that keeps one row per key."""
+    def part(n, b):
+        if b.startswith("("):
+            head, body = b.split(" AS ", 1)
+            return f"{n} {head} AS (\n{body}\n)"
+        return f"{n} AS {'' if n in _names(b) else 'MATERIALIZED '}(\n{b}\n)"
+    parts = [part(n, b) for n, b in closure(sql, 1, ctes)]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql if parts else sql
 
 
