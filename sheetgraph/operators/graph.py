@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -171,24 +172,37 @@ def veto(pairs: DataFrame, raw: tuple[DataFrame, DataFrame], contracted: tuple[D
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None, keys=SHEET, pair="pair_id") -> DataFrame:
     """Fewest-hops path per (start, goal) pair, smallest ids first among equals. Without max_depth the search ends when nothing new is
-    reached; with it, paths of more hops are NULL."""
+    reached; with it, paths of more hops are NULL.
+
+    Distances spread from each goal, once for all pairs that share it, as rows (goal, vertex) per level; a level only has to leave
+    out the two before it. A goal stops when all its starts are met. Then the pairs walk back together, from the farthest level
+    down, each to its smallest neighbour one level nearer.
+    """
     keys = list(keys)
-    hop = staged(both_ways(edges, keys, "at", "to").distinct())
-    on = [*keys, pair]
-    front = staged(pairs.select(*on, "goal", F.col("start").alias("at"), F.array("start").alias("path")))
-    seen, found = front.select(*on, "at"), front.filter("at = goal").select(*on, "path")
-    front = front.filter("at <> goal")
-    for _ in itertools.count() if max_depth is None else range(max_depth):
-        nxt = front.join(hop, [*keys, "at"]).select(*on, "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        nxt = nxt.join(seen, [*on, "at"], "left_anti").groupBy(*on, "goal", "at").agg(F.min("path").alias("path"))
-        nxt = staged(nxt)
-        hit = nxt.filter("at = goal").select(*on, "path")
-        found = found.unionByName(hit)
-        front = staged(nxt.join(hit.select(*on), on, "left_anti"))
-        if not has_rows(front):
+    on, hop = [*keys, pair], staged(both_ways(edges, keys, "at", "to").distinct())
+    waiting = staged(pairs.select(*on, "start", "goal"))
+    levels, hits = [staged(waiting.select(*keys, "goal", F.col("goal").alias("at")).distinct())], []
+    for depth in itertools.count():
+        met = levels[-1].select(*keys, "goal", F.col("at").alias("start"))
+        hits.append(staged(waiting.join(met, [*keys, "goal", "start"]).select(*on, "goal", F.col("start").alias("at"))))
+        waiting = staged(waiting.join(hits[-1].select(*on), on, "left_anti"))
+        if depth == max_depth or not has_rows(waiting):
+            break
+        front = levels[-1].join(waiting.select(*keys, "goal").distinct(), [*keys, "goal"], "left_semi")
+        nxt = front.join(hop, [*keys, "at"]).select(*keys, "goal", F.col("to").alias("at")).distinct()
+        for old in levels[-2:]:
+            nxt = nxt.join(old, [*keys, "goal", "at"], "left_anti")
+        levels.append(staged(nxt))
+        if not has_rows(levels[-1]):
             break
-        seen = seen.unionByName(nxt.select(*on, "at"))
-    return pairs.join(found, on, "left").withColumn("hops", F.size("path") - 1)
+    steps, at = [hits[0].withColumn("left", F.lit(0))], None
+    for left in range(len(hits) - 1, 0, -1):
+        here = hits[left] if at is None else at.unionByName(hits[left])
+        nearer = levels[left - 1].withColumnRenamed("at", "to")
+        at = staged(here.join(hop, [*keys, "at"]).join(nearer, [*keys, "goal", "to"]).groupBy(*on, "goal").agg(F.min("to").alias("at")))
+        steps += [hits[left].withColumn("left", F.lit(left)), at.withColumn("left", F.lit(left - 1))]
+    walked = functools.reduce(DataFrame.unionByName, steps).groupBy(*on).agg(F.reverse(F.array_sort(F.collect_list(F.struct("left", "at"))))["at"].alias("path"))
+    return pairs.join(walked, on, "left").withColumn("hops", F.size("path") - 1)
 
 
 def culprits(paths: DataFrame, edges: DataFrame, crossings: DataFrame, keys=SHEET, pair="pair_id") -> DataFrame:
