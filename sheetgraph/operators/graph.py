@@ -98,9 +98,14 @@ def crossing_pairs(crossings: DataFrame, edges: DataFrame, places: DataFrame, ke
 
     Two neighbours pass; of three the straightest pair; of more, the straightest of the three pairings of the first four.
     """
+    return pairs_at(both_ways(edges, keys, "x", "n").distinct(), crossings, places, keys, id)
+
+
+def pairs_at(near: DataFrame, crossings: DataFrame, places: DataFrame, keys=SHEET, id="node_id") -> DataFrame:
+    """The same for given neighbours (x, n), each once."""
     keys = list(keys)
     c = crossings.select(*keys, F.col(id).alias("x"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    nb = both_ways(edges, keys, "x", "n").join(c, [*keys, "x"]).distinct()
+    nb = near.select(*keys, "x", "n").join(c, [*keys, "x"])
     nb = nb.join(places.select(*keys, F.col(id).alias("n"), F.col("cx").alias("nx"), F.col("cy").alias("ny")), [*keys, "n"])
     # a crossing has a handful of neighbours: what meets in one point of a drawing
     around = nb.groupBy(*keys, "x", "px", "py").agg(F.sort_array(F.collect_list(F.struct("n", "nx", "ny"))).alias("s"))
@@ -117,28 +122,94 @@ def crossing_pairs(crossings: DataFrame, edges: DataFrame, places: DataFrame, ke
     return out.select(*keys, F.col("x").alias("crossing"), "a", "b", F.coalesce(F.col("option") == F.col("chosen"), F.lit(False)).alias("passes"))
 
 
+def _legs_on(passing: DataFrame, keys: list[str]) -> DataFrame:
+    """For the leg from `frm` to a crossing `at`, the leg that goes on: from the crossing (nfrm) to its pair's other end (nat)."""
+    one = lambda a, b: passing.select(*keys, F.col(a).alias("frm"), F.col("crossing").alias("at"), F.col("crossing").alias("nfrm"), F.col(b).alias("nat"))
+    return one("a", "b").unionByName(one("b", "a"))
+
+
+def _in_turn(near: DataFrame, on: DataFrame, most: int, keys: list[str]) -> DataFrame:
+    """Neighbours (x, n) with `r`, what a crossing finds there in its turn: the line through n is followed past all crossings of
+    smaller number, since those are gone by then. `r` is null where such a line ends."""
+    jumps = [staged(on.withColumn("top", F.col("at")))]
+    while has_rows(jumps[-1]) and 2 ** len(jumps) <= most:
+        j = jumps[-1]
+        later = j.select(*keys, F.col("frm").alias("nfrm"), F.col("at").alias("nat"), F.col("nfrm").alias("f2"), F.col("nat").alias("a2"), F.col("top").alias("t2"))
+        jumps.append(staged(j.join(later, [*keys, "nfrm", "nat"]).select(*keys, "frm", "at", F.col("f2").alias("nfrm"), F.col("a2").alias("nat"), F.greatest("top", "t2").alias("top"))))
+    smaller = F.col("is_x") & (F.col("n") < F.col("x"))
+    cur = near.filter(smaller).select(*keys, "x", "n", F.col("x").alias("frm"), F.col("n").alias("at"))
+    for j in reversed(jumps):
+        d, go = cur.join(j, [*keys, "frm", "at"], "left"), F.col("top") < F.col("x")
+        cur = staged(d.select(*keys, "x", "n", F.when(go, F.col("nfrm")).otherwise(F.col("frm")).alias("frm"), F.when(go, F.col("nat")).otherwise(F.col("at")).alias("at")))
+    ids = near.select(*keys, F.col("x").alias("at"), F.lit(True).alias("still")).distinct()
+    ended = cur.join(ids, [*keys, "at"], "left").select(*keys, "x", "n", F.when(~(F.coalesce("still", F.lit(False)) & (F.col("at") < F.col("x"))), F.col("at")).alias("r"))
+    return staged(near.filter(~smaller).select(*keys, "x", "n", F.col("n").alias("r")).unionByName(ended))
+
+
+def _lines_through(on: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (u, v) of vertices joined by a line that runs through crossings of `gone` only, by doubling the stretch known of each leg."""
+    on = on.join(gone.withColumnRenamed("x", "at"), [*keys, "at"], "left_semi")
+    mark = lambda d, n: d.join(gone.select(*keys, F.col("x").alias(n), F.lit(True).alias("in_" + n)), [*keys, n], "left")
+    far = staged(mark(mark(on, "frm"), "nat"))
+    while True:
+        # what still goes on: the leg it ends with is known to lead further
+        further = far.select(*keys, F.col("frm").alias("nfrm"), F.col("at").alias("nat"), F.col("nfrm").alias("f2"), F.col("nat").alias("a2"), F.col("in_nat").alias("i2"))
+        if not has_rows(far.filter("in_frm IS NULL AND in_nat").join(further, [*keys, "nfrm", "nat"], "left_semi")):
+            ends = far.filter("in_frm IS NULL AND in_nat IS NULL AND frm <> nat")
+            return ends.select(*keys, F.least("frm", "nat").alias("u"), F.greatest("frm", "nat").alias("v")).distinct()
+        d, more = far.join(further, [*keys, "nfrm", "nat"], "left"), F.col("a2").isNotNull()
+        far = staged(d.select(*keys, "frm", "at", F.when(more, F.col("f2")).otherwise(F.col("nfrm")).alias("nfrm"), F.when(more, F.col("a2")).otherwise(F.col("nat")).alias("nat"), "in_frm",
+                              F.when(more, F.col("i2")).otherwise(F.col("in_nat")).alias("in_nat")))
+
+
 def gt_crossings(vertices: DataFrame, edges: DataFrame, keys=SHEET, label="label", id="node_id") -> tuple[DataFrame, DataFrame]:
     """Contracts crossings in id order, joining only pairs that pass through. Returns (edges, pairs with `passes`).
 
-    A crossing waits for smaller crossings beside it; all others of a round are independent of each other.
+    A crossing pairs the neighbours it has in its turn, when smaller crossings are gone and their lines lead further. All crossings
+    are paired at once as they stand, each looks along those lines for its later neighbours, and pairs these again. Where both
+    pairings agree for all crossings of a connected piece, or for all below some number, they are what one after the other
+    would have given, and these go together. The smallest disagreeing crossing of a piece is right in the next round. So a run of any
+    length takes one round with a logarithmic number of joins.
     """
     keys = list(keys)
-    places = vertices.select(*keys, id, "cx", "cy")
+    places = staged(vertices.select(*keys, id, "cx", "cy"))
     todo = staged(vertices.filter(F.col(label) == "crossing").select(*keys, id, "cx", "cy"))
-    live, pairs = staged(ordered(edges.select(*keys, "u", "v")).distinct()), None
-    while has_rows(todo):
-        ids = todo.select(*keys, F.col(id).alias("b"), F.lit(1).alias("x"))
-        beside = both_ways(live, keys).join(ids, [*keys, "b"]).filter("b < a").select(*keys, F.col("a").alias(id)).distinct()
-        now = staged(todo.join(beside, [*keys, id], "left_anti"))
-        got = staged(crossing_pairs(now, live, places, keys, id))
-        pairs = got if pairs is None else pairs.unionByName(got)
-        gone = now.select(*keys, id)
-        rest = live.join(gone.withColumnRenamed(id, "u"), [*keys, "u"], "left_anti").join(gone.withColumnRenamed(id, "v"), [*keys, "v"], "left_anti")
-        live = staged(rest.unionByName(got.filter("passes").select(*keys, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct())
-        todo = staged(todo.join(gone, [*keys, id], "left_anti"))
-    if pairs is None:
-        pairs = live.select(*keys, F.col("u").alias("crossing"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(False).alias("passes")).filter("false")
-    return live, pairs
+    live, pairs = staged(ordered(edges.select(*keys, "u", "v")).distinct()), []
+    most = todo.count()
+    while True:
+        ids = todo.select(*keys, F.col(id).alias("x"))
+        flag = ids.select(*keys, F.col("x").alias("n"), F.lit(True).alias("is_x"))
+        near = staged(both_ways(live, keys, "x", "n").join(ids, [*keys, "x"], "left_semi").join(flag, [*keys, "n"], "left").withColumn("is_x", F.coalesce("is_x", F.lit(False))).distinct())
+        if not has_rows(near):
+            break
+        now = staged(pairs_at(near, todo, places, keys, id))
+        on = staged(_legs_on(now.filter("passes"), keys))
+        seen = _in_turn(near, on, most, keys)
+        # a crossing without smaller ones beside it sees what is there
+        open_ = staged(near.filter("is_x AND n < x").select(*keys, "x").distinct())
+        changed = seen.join(open_, [*keys, "x"], "left_semi")
+        again = staged(pairs_at(changed.filter("r IS NOT NULL").select(*keys, "x", F.col("r").alias("n")).distinct(), todo, places, keys, id))
+        r = lambda n: changed.select(*keys, F.col("x").alias("crossing"), F.col("n").alias(n), F.col("r").alias("r" + n))
+        kept = now.filter("passes").join(r("a"), [*keys, "crossing", "a"]).join(r("b"), [*keys, "crossing", "b"]).filter("ra IS NOT NULL AND rb IS NOT NULL")
+        both = kept.select(*keys, "crossing", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.lit(1).alias("w"))\
+            .unionByName(again.filter("passes").select(*keys, "crossing", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(-1).alias("w")))
+        differs = both.groupBy(*keys, "crossing", "a", "b").agg(F.sum("w").alias("w")).filter("w <> 0").select(*keys, F.col("crossing").alias("x"))
+        merged = changed.groupBy(*keys, "x").agg((F.count_distinct("r") < F.count("r")).alias("m"), F.max(F.col("r") == F.col("x")).alias("s")).filter("m OR s").select(*keys, "x")
+        bad = staged(differs.unionByName(merged).distinct())
+        gone = ids
+        if has_rows(bad):
+            piece = components(ids, near.filter("is_x").select(*keys, F.col("x").alias("u"), F.col("n").alias("v")), keys, "x")
+            low = bad.join(piece, [*keys, "x"]).groupBy(*keys, "comp").agg(F.min("x").alias("low"))
+            gone = staged(piece.join(low, [*keys, "comp"], "left").filter("low IS NULL OR x < low").select(*keys, "x"))
+        got = now.join(open_.withColumnRenamed("x", "crossing"), [*keys, "crossing"], "left_anti").unionByName(again)
+        pairs.append(got.join(gone.withColumnRenamed("x", "crossing"), [*keys, "crossing"], "left_semi"))
+        rest = live.join(gone.withColumnRenamed("x", "u"), [*keys, "u"], "left_anti").join(gone.withColumnRenamed("x", "v"), [*keys, "v"], "left_anti")
+        live = staged(rest.unionByName(_lines_through(on, gone, keys)).distinct())
+        todo = staged(todo.join(gone.withColumnRenamed("x", id), [*keys, id], "left_anti"))
+    if not pairs:
+        none = live.select(*keys, F.col("u").alias("crossing"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(False).alias("passes")).filter("false")
+        return live, none
+    return live, functools.reduce(DataFrame.unionByName, pairs)
 
 
 def gt_contracted(vertices: DataFrame, edges: DataFrame, keys=SHEET, label="label", id="node_id"):

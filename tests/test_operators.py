@@ -311,3 +311,56 @@ def test_ground_truth_runs_over_adjacent_crossings(spark):
     assert {(r.sheet_id, r.u, r.v) for r in got.collect()} == {(1, 1, 5), (1, 20, 21), (1, 30, 31), (1, 40, 41), (2, 1, 9), (2, 20, 21), (2, 30, 31), (2, 40, 41)}
     assert gv.filter("sheet_id = 1").count() == 8
     assert not apart.filter("a = 20 and b = 21 or a = 1 and b = 5").head(1)
+
+
+def contracted_in_turn(pos, edges, cross):
+    """Crossings one by one in id order: edges left and pairs kept apart."""
+    adj, apart = adjacency(edges), set()
+    err = lambda c, a, b: abs((math.degrees(math.atan2(pos[b][1] - pos[c][1], pos[b][0] - pos[c][0]) - math.atan2(pos[a][1] - pos[c][1], pos[a][0] - pos[c][0])) % 360) - 180)
+    for c in sorted(cross):
+        near = sorted(adj.pop(c, set()))
+        for a in near:
+            adj[a].discard(c)
+        ways = [[p] for p in itertools.combinations(near, 2)] if len(near) < 4 else [[(near[0], near[i]), tuple(near[j] for j in (1, 2, 3) if j != i)] for i in (1, 2, 3)]
+        ok = min(ways, key=lambda w: round(sum(err(c, *p) for p in w), 9), default=[])
+        apart |= {(c, *p) for p in itertools.combinations(near, 2) if p not in ok}
+        for a, b in ok:
+            adj[a].add(b), adj[b].add(a)
+    return {tuple(sorted((a, b))) for a in adj for b in adj[a]}, apart
+
+
+def both_contractions(spark, sheets):
+    """Distributed and plain results of {sheet: (pos, edges, cross)}."""
+    v = spark.createDataFrame([(s, i, "crossing" if i in cross else "valve", float(x), float(y)) for s, (pos, _, cross) in sheets.items() for i, (x, y) in pos.items()], "sheet_id long, node_id long, label string, cx double, cy double")
+    e = spark.createDataFrame([(s, *x) for s, (_, edges, _) in sheets.items() for x in edges], "sheet_id long, u long, v long")
+    live, pairs = graph.gt_crossings(v, e)
+    want = {s: contracted_in_turn(*x) for s, x in sheets.items()}
+    got = {(r.sheet_id, r.u, r.v) for r in live.collect()}, {(r.sheet_id, r.crossing, r.a, r.b) for r in pairs.filter("not passes").collect()}
+    return got, ({(s, *x) for s, (left, _) in want.items() for x in left}, {(s, *x) for s, (_, apart) in want.items() for x in apart})
+
+
+def test_crossings_that_depend_on_each_other(spark):
+    """Dense sheets, where lines merge, end and turn back, and grids of adjacent crossings numbered at random."""
+    rng, sheets = random.Random(4), {}
+    for s in range(30):
+        n = rng.choice([6, 12, 25])
+        pos = {i: (rng.randrange(50), rng.randrange(50)) for i in range(n)}
+        edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(int(n * rng.choice([1, 1.5, 2.5])))}
+        sheets[s] = pos, edges, set(rng.sample(range(n), int(n * rng.choice([0.4, 0.8]))))
+    for s in range(30, 36):
+        ids = rng.sample(range(200), 81)
+        at = {(x, y): ids[9 * y + x] for x in range(9) for y in range(9)}
+        edges = {tuple(sorted((at[p], at[q]))) for p in at for q in ((p[0] + 1, p[1]), (p[0], p[1] + 1)) if q in at}
+        pos = {i: (10 * x + rng.random() * (s % 3), 10 * y + rng.random() * (s % 3)) for (x, y), i in at.items()}
+        sheets[s] = pos, edges, {at[p] for p in at if 0 < p[0] < 8 and 0 < p[1] < 8}
+    got, want = both_contractions(spark, sheets)
+    assert got == want
+
+
+def test_long_run_of_crossings_takes_few_tables(spark, monkeypatch):
+    n, tables = 1000, []
+    monkeypatch.setattr(graph, "staged", lambda df, f=graph.staged: tables.append(1) or f(df))
+    pos = {i: (i, 0) for i in range(n + 2)} | {10_000 + i: (i, 1) for i in range(1, n + 1)} | {20_000 + i: (i, -1) for i in range(1, n + 1)}
+    edges = {(i, i + 1) for i in range(n + 1)} | {(i, k + i) for i in range(1, n + 1) for k in (10_000, 20_000)}
+    got, want = both_contractions(spark, {1: (pos, edges, set(range(1, n + 1)))})
+    assert got == want and (1, 0, n + 1) in got[0] and len(tables) < 60
