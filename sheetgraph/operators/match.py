@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheetgraph import params as P
@@ -30,26 +32,55 @@ def drop_ignored(d: DataFrame, ignore: DataFrame, thr: float = 0.3, keys=SHEET,
     return d.join(hit.select(*keys, F.col("p_" + id).alias(id)).distinct(), [*keys, id], "left_anti")
 
 
-def one_to_one(pairs: DataFrame, keys, turn: list[Column], want: list[Column], a="a_id", b="b_id") -> DataFrame:
+def places(rows: DataFrame, keys, id: str) -> DataFrame:
+    """Rows with `rep`, the smallest id among those of the same box, and `pos`, their place in id order from 1."""
+    same = Window.partitionBy(*keys, *P.BOX).orderBy(id)
+    return staged(rows.select(*keys, id, *P.BOX).withColumns({"rep": F.first(id).over(same), "pos": F.row_number().over(same)}))
+
+
+def one_to_one(pairs: DataFrame, keys, turn: list[Column], want: list[Column], a="a_id", b="b_id", seats: DataFrame | None = None) -> DataFrame:
     """Serial choice: every a, in order of `turn`, takes its most wanted b that is still free.
 
-    Solved in rounds over the candidate pairs. A pair is final when b is a's first choice and a is the first in turn among
-    all that still want b; both then leave with their pairs. The earliest open a of any neighbourhood is always final, so
-    each round settles all independent neighbourhoods at once and the outcome equals taking turns one by one.
+    With `seats` (see `places`) the b of the pairs are places with several seats: equal boxes are wanted equally by everybody and
+    go in id order, so pairs are listed with the place only and an a gets the next seat. Copies on one spot cost a row each.
+
+    Solved in rounds over the candidate pairs. A place gives seats, in turn, to all who want it most and come before anybody who
+    has it on their list but wants another more. Who wants two places equally may change with the next seat, so they only
+    get the first of a round, and nobody is seated after them. The earliest open a of any neighbourhood is always seated, so each round settles all
+    independent neighbourhoods at once and the outcome equals taking turns one by one.
     """
     ka, kb = [*keys, a], [*keys, b]
-    live = staged(pairs.select(*keys, a, b, F.struct(*turn, F.col(a)).alias("turn"), F.struct(*want, F.col(b)).alias("want")))
-    done = None
+    live = pairs.select(*keys, a, b, F.struct(*turn, F.col(a)).alias("turn"), F.struct(*want).alias("want"), F.col(b).alias("next"))
+    if seats is None:
+        later, live = None, live.withColumns({"used": F.lit(0).cast("bigint"), "left": F.lit(1).cast("bigint")})
+    else:
+        size = seats.groupBy(*keys, F.col("rep").alias(b)).agg(F.count(F.lit(1)).alias("left"))
+        live = live.join(size, kb).withColumn("used", F.lit(0).cast("bigint"))
+        later = staged(seats.filter("pos > 1").select(*keys, F.col("rep").alias(b), F.col("pos").cast("bigint").alias("p"), F.col(b).alias("id")))
+    live, done = staged(live.select(*keys, a, b, "turn", "want", "next", "used", "left")), []
+    best = Window.partitionBy(*ka).orderBy("want", "next", b)
     while has_rows(live):
-        choice = live.groupBy(*ka).agg(F.min(F.struct("want", b)).alias("c")).select(*ka, F.col("c." + b).alias("first_b"))
-        first = live.groupBy(*kb).agg(F.min(F.struct("turn", a)).alias("c")).select(*kb, F.col("c." + a).alias("first_a"))
-        final = live.join(choice, ka).filter(F.col(b) == F.col("first_b")).join(first, kb).filter(F.col(a) == F.col("first_a"))
-        final = staged(final.select(*keys, a, b))
-        done = final if done is None else done.unionByName(final)
-        live = staged(live.join(final.select(*ka), ka, "left_anti").join(final.select(*kb), kb, "left_anti"))
-    return live.select(*keys, a, b) if done is None else done
-
-
+        d = live.withColumns({"place": F.row_number().over(best), "second": F.lead("want").over(best)})
+        d = staged(d.withColumn("tied", F.coalesce((F.col("place") == 1) & (F.col("second") == F.col("want")), F.lit(False))).drop("second"))
+        bound = d.filter("place > 1 OR tied").groupBy(*kb).agg(F.min("turn").alias("bound"))
+        first = d.filter("place = 1").join(bound, kb, "left").filter(F.col("bound").isNull() | (F.col("turn") < F.col("bound")) | (F.col("tied") & (F.col("turn") == F.col("bound"))))
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*kb).orderBy("turn"))).filter("n <= left AND (n = 1 OR NOT tied)")
+        final = staged(first.select(*keys, a, b, (F.col("used") + F.col("n")).alias("seat")))
+        done.append(final)
+        taken = final.groupBy(*kb).agg(F.max("seat").alias("to"))
+        live = live.join(final.select(*ka), ka, "left_anti").join(taken, kb, "left")
+        live = live.withColumns({"left": F.col("left") - F.coalesce(F.col("to") - F.col("used"), F.lit(0)), "moved": F.col("to").isNotNull(), "used": F.coalesce("to", "used")}).filter("left > 0").drop("to")
+        if later is not None:
+            # the next seat of places that gave some away
+            live = live.withColumn("p", F.when(F.col("moved"), F.col("used") + 1)).join(later, [*kb, "p"], "left").withColumn("next", F.coalesce("id", "next"))
+        live = staged(live.select(*keys, a, b, "turn", "want", "next", "used", "left"))
+    if not done:
+        return live.select(*keys, a, b)
+    out = reduce(DataFrame.unionByName, done)
+    if seats is None:
+        return out.select(*keys, a, b)
+    seat = seats.select(*keys, F.col("rep").alias("__rep"), F.col("pos").cast("bigint").alias("seat"), F.col(b).alias("__id"))
+    return out.withColumnRenamed(b, "__rep").join(seat, [*keys, "__rep", "seat"]).select(*keys, a, F.col("__id").alias(b))
 
 
 def greedy_iou(d: DataFrame, gt: DataFrame, thr=0.5, keys=SHEET, cls="cls") -> DataFrame:
@@ -59,11 +90,12 @@ def greedy_iou(d: DataFrame, gt: DataFrame, thr=0.5, keys=SHEET, cls="cls") -> D
     """
     many = list(thr) if isinstance(thr, (list, tuple)) else [float(thr)]
     on = [*keys, cls]
-    pairs = iou_join(d.select(*on, "det_id", "conf", *P.BOX), gt.select(*on, "gt_id", *P.BOX), min(many), on)
+    seats = places(gt, on, "gt_id")
+    pairs = iou_join(d.select(*on, "det_id", "conf", *P.BOX), seats.filter("pos = 1").select(*on, "gt_id", *P.BOX), min(many), on)
     pairs = pairs.select(*on, F.col("p_det_id").alias("det_id"), F.col("p_conf").alias("conf"), F.col("g_gt_id").alias("gt_id"), "iou")
-    levels = F.array(*[F.lit(float(t)) for t in many])
-    pairs = pairs.withColumn("thr", F.explode(levels)).filter(F.col("iou") >= F.col("thr"))
-    return one_to_one(pairs, [*on, "thr"], [-F.col("conf")], [-F.col("iou")], "det_id", "gt_id")
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in many])).alias("thr")
+    pairs = pairs.select("*", levels).filter(F.col("iou") >= F.col("thr"))
+    return one_to_one(pairs, [*on, "thr"], [-F.col("conf")], [-F.col("iou")], "det_id", "gt_id", seats.select("*", levels))
 
 
 def center_candidates(d: DataFrame, gt: DataFrame, frac: float, keys, strict: bool, floor: str) -> DataFrame:
@@ -87,10 +119,14 @@ def center_candidates(d: DataFrame, gt: DataFrame, frac: float, keys, strict: bo
 def greedy_center(d: DataFrame, gt: DataFrame, frac: float = 0.5, major: str = "pred", strict: bool = False,
                   floor: str = "none", keys=("sheet_id", "label")) -> DataFrame:
     """One-to-one nearest-centre matching. Predictions take turns by confidence, or ground truth by id (`major="gt"`)."""
-    pairs = center_candidates(d, gt, frac, keys, strict, floor)
+    keys = list(keys)
     if major == "pred":
-        return one_to_one(pairs, list(keys), [-F.col("conf")], [F.col("d2")], "det_id", "gt_id")
-    return one_to_one(pairs, list(keys), [], [F.col("d2")], "gt_id", "det_id")
+        seats = places(gt, keys, "gt_id")
+        pairs = center_candidates(d, seats.filter("pos = 1"), frac, keys, strict, floor)
+        return one_to_one(pairs, keys, [-F.col("conf")], [F.col("d2")], "det_id", "gt_id", seats)
+    seats = places(d, keys, "det_id")
+    pairs = center_candidates(seats.filter("pos = 1").withColumn("conf", F.lit(None).cast("double")), gt, frac, keys, strict, floor)
+    return one_to_one(pairs, keys, [], [F.col("d2")], "gt_id", "det_id", seats)
 
 
 def hit_counts(d: DataFrame, gt: DataFrame, frac: float = 0.5, keys=("sheet_id", "label")) -> DataFrame:
@@ -125,7 +161,9 @@ def triage(d: DataFrame, gt: DataFrame, matches: DataFrame, frac: float = 0.5, n
            keys=("sheet_id", "label")) -> DataFrame:
     """Why an unmatched detection has no partner: it doubles a matched one, its partner was free, or nothing is near."""
     left = d.join(matches.select(*keys, "det_id"), [*keys, "det_id"], "left_anti")
-    cand = center_candidates(left, gt, frac, keys, False, "area")
+    # of equal boxes the smallest id is the nearest
+    spots = gt.groupBy(*keys, *P.BOX).agg(F.min("gt_id").alias("gt_id"))
+    cand = center_candidates(left, spots, frac, keys, False, "area")
     taken = matches.select(*keys, "gt_id").withColumn("taken", F.lit(1))
     best = cand.groupBy(*keys, "det_id").agg(F.min(F.struct("d2", "gt_id")).alias("b"))
     best = best.select(*keys, "det_id", F.col("b.gt_id").alias("gt_id")).join(taken, [*keys, "gt_id"], "left")

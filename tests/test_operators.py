@@ -364,3 +364,33 @@ def test_long_run_of_crossings_takes_few_tables(spark, monkeypatch):
     edges = {(i, i + 1) for i in range(n + 1)} | {(i, k + i) for i in range(1, n + 1) for k in (10_000, 20_000)}
     got, want = both_contractions(spark, {1: (pos, edges, set(range(1, n + 1)))})
     assert got == want and (1, 0, n + 1) in got[0] and len(tables) < 60
+
+
+@pytest.mark.parametrize("major", ["pred", "gt"])
+def test_matching_of_copies_takes_turns(spark, major):
+    """Many equal boxes on both sides, places wanted equally, and boxes that only some can reach."""
+    rng = random.Random(6)
+    spots = [(rng.choice([100, 104, 108, 112]), rng.choice([100, 104])) for _ in range(9)]
+    det = [(1, "v", f"d{i:03d}", rng.randrange(5) / 5, *(float(c) for x, y in [rng.choice(spots)] for c in (x, y, x + 8, y + 8))) for i in range(60)]
+    gt = [(1, "v", f"g{i:03d}", *(float(c) for x, y, w in [(*rng.choice(spots), rng.choice([8, 16]))] for c in (x, y, x + w, y + w))) for i in range(45)]
+    d = spark.createDataFrame(det, "sheet_id long, label string, det_id string, conf double, x1 double, y1 double, x2 double, y2 double")
+    g = spark.createDataFrame(gt, "sheet_id long, label string, gt_id string, x1 double, y1 double, x2 double, y2 double")
+    far = lambda p, q: ((p[-4] + p[-2]) / 2 - (q[-4] + q[-2]) / 2) ** 2 + ((p[-3] + p[-1]) / 2 - (q[-3] + q[-1]) / 2) ** 2
+    reach = lambda p, q: far(p, q) <= 0.25 * (q[-2] - q[-4]) * (q[-1] - q[-3])
+    want, used = set(), set()
+    takers = sorted(det, key=lambda p: (-p[3], p[2])) if major == "pred" else sorted(gt, key=lambda q: q[2])
+    for t in takers:
+        pick = lambda p, q: (far(p, q), q[2] if major == "pred" else p[2])
+        free = [pick(t, q) for q in gt if reach(t, q) and q[2] not in used] if major == "pred" else [pick(p, t) for p in det if reach(p, t) and p[2] not in used]
+        if free:
+            used.add(min(free)[1])
+            want.add((t[2], min(free)[1]) if major == "pred" else (min(free)[1], t[2]))
+    assert {(r.det_id, r.gt_id) for r in match.greedy_center(d, g, major=major).collect()} == want and len(want) > 30
+
+
+def test_ten_thousand_copies_on_one_spot(spark):
+    d = spark.range(10_000).selectExpr("1L AS sheet_id", "0 AS cls", "id AS det_id", "(id * 7919 % 10000) / 10000D AS conf", "10D AS x1", "10D AS y1", "30D AS x2", "30D AS y2")
+    g = spark.range(6_000).selectExpr("1L AS sheet_id", "0 AS cls", "id AS gt_id", "11D AS x1", "10D AS y1", "31D AS x2", "30D AS y2")
+    m = match.greedy_iou(d, g)
+    assert m.join(d, "det_id").agg(F.count(F.lit(1)), F.countDistinct("gt_id"), F.min("conf")).first() == (6000, 6000, 0.4)
+    assert m.join(d, "det_id").filter(F.round((1 - F.col("conf")) * 10_000) - 1 != F.col("gt_id")).isEmpty()
