@@ -187,8 +187,8 @@ def value(vector, start: float, trees: list) -> float:
 
 
 def thresholds(table, start: float, trees: list) -> list[float]:
-    """Per kind a score between the lowest at which labelled proposals reach PRECISION and the next lower of a labelled one, which may be
-    none; infinite if PRECISION is not reached."""
+    """Per kind a score between the lowest at which labelled proposals reach PRECISION and the next lower of a labelled one, or that
+    lowest itself if none is lower; infinite if PRECISION is not reached."""
     out = []
     for k in range(len(KINDS)):
         rows = sorted(((value(v, start, trees), p, n) for v, p, n in table if v[0] == k), reverse=True)
@@ -196,19 +196,20 @@ def thresholds(table, start: float, trees: list) -> list[float]:
         for i, (s, p, n) in enumerate(rows):
             hits, seen = hits + p, seen + n
             if (i + 1 == len(rows) or rows[i + 1][0] < s) and (hits + 1) / (seen + 2) >= PRECISION:
-                cut = (s + rows[i + 1][0]) / 2 if i + 1 < len(rows) else -math.inf
+                cut = (s + rows[i + 1][0]) / 2 if i + 1 < len(rows) else s
         out.append(cut)
     return out
 
 
 def found(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with `base` and `spans`: arrays of s, k, e, kind, sorted by start and kind; spans holds base."""
+    """The kept columns with `base` and `spans`: arrays of s, k, e, kind, sorted by start and kind; spans holds base. A proposal that
+    fails the check of its kind is never a span, however rare such proposals are."""
     p = stored(proposed(docs, text, keep))
     table = cells(p)
     start, trees = boosted(table)
     cuts = thresholds(table, start, trees)
     cut = lambda k: F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), k + 1)
-    new = F.filter("more", lambda x: (~x["y"]) & (scored(x["f"], start, trees) >= cut(x["k"])) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    new = F.filter("more", lambda x: (~x["y"]) & (x["f"]["check"] == 1) & (scored(x["f"], start, trees) >= cut(x["k"])) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     plain = F.transform(new, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))
     return p.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", plain)))).drop("more")
 

@@ -277,3 +277,14 @@ def test_one_of_each_with_repeated_ids(spark, twice):
     got = [tuple(x) for x in near.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
     key = lambda x: (x[0] or 0, x[1])
     assert sorted([x for x in got if x[0] != 7], key=key) == sorted(want, key=key) and sum(x[0] == 7 for x in got) == twice
+
+
+@pytest.mark.parametrize("failing", [3, 300])
+def test_failing_matches_are_never_spans(spark, failing):
+    """Base matches that fail their check stay out, whether they are one in a hundred or half of all."""
+    good = [f"write to a{i}@b.org or 10.0.{i % 256}.7, card 4111 1111 1111 1111, call +1 (826) 555-{4000 + i}" for i in range(300)]
+    bad = [f"see 1.2.3.{400 + i} and 4111 1111 1111 1112 and +12 34" for i in range(failing)]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
+    for r in pii.found(d).collect():
+        assert [tuple(x) for x in r.base] == base_spans(r.text)
+        assert len(r.spans) == (4 if r.doc_id < 300 else 0), r.text
