@@ -30,9 +30,53 @@ def _holds() -> Column:
     return F.col("want_contains").isNull() | F.contains(F.lower(F.coalesce("raw_text", F.lit(""))), F.lower("want_contains"))
 
 
+GRAM = 3  # length of the pieces by which texts are found
+
+
+def _pieces(c: Column, sizes) -> Column:
+    """Distinct pieces of a text of the given lengths; null for a null text."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def holding(texts: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
+    """(t, raw) for every text `raw` of the same keys that contains the term `t`; both lower-cased.
+
+    Texts are listed under their pieces of one to three characters. A term meets only the texts under the rarest of its own pieces, or
+    under itself if it is that short, and none if one of its pieces occurs nowhere. The empty term is in every text.
+    """
+    keys = list(keys)
+    under = texts.select(*keys, "raw").filter("raw IS NOT NULL").distinct()
+    under = under.select(*keys, "raw", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _pieces(F.col("raw"), range(1, GRAM + 1))))).alias("piece"))
+    asked = terms.select(*keys, "t").filter("t IS NOT NULL").distinct()
+    asked = asked.select(*keys, "t", F.explode(F.when(F.length("t") >= GRAM, _pieces(F.col("t"), [GRAM])).otherwise(F.array("t"))).alias("piece"))
+    under = under.join(asked.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi")
+    n = asked.join(under.groupBy(*keys, "piece").agg(n_rows().alias("n")), [*keys, "piece"], "left")
+    rare = n.groupBy(*keys, "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "piece")).alias("p")).filter("p.n > 0").select(*keys, "t", F.col("p.piece").alias("piece"))
+    return rare.join(under, [*keys, "piece"]).filter(F.contains("raw", "t")).select(*keys, "t", "raw")
+
+
 def find_nodes(nodes: DataFrame, requests: DataFrame, keys=SHEET) -> DataFrame:
-    """Light rows of all nodes meeting each request; sort by req_id and text.id_order(id) to list them."""
-    d = requests.select(*keys, "req_id", *FILTERS).join(nodes, list(keys)).filter(_fits() & _holds())
+    """Light rows of all nodes meeting each request; sort by req_id and text.id_order(id) to list them.
+
+    Nodes are listed under their type, class, function and the texts asked for. A request looks under the rarest of its filters and
+    checks the others there; only one without any filter meets all nodes of its sheet, which is its answer.
+    """
+    keys = list(keys)
+    raw, asked_text = F.lower(F.coalesce("raw_text", F.lit(""))), F.lower("want_contains")
+    held = holding(nodes.select(*keys, raw.alias("raw")), requests.select(*keys, asked_text.alias("t")), keys)
+    by_text = nodes.select(*keys, "id", raw.alias("raw")).join(held, [*keys, "raw"]).select(*keys, F.lit("contains").alias("axis"), F.col("t").alias("value"), "id")
+    axes = lambda *cs: F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), v.alias("value")) for a, v in cs])).alias("x")
+    three = ("node_type", "cls_name", "tag_function")
+    listed = nodes.select(*keys, "id", axes(("all", F.lit("")), *[(c, F.col(c)) for c in three])).select(*keys, "x.axis", "x.value", "id").unionByName(by_text).filter("value IS NOT NULL")
+    r = requests.select(*keys, "req_id", *FILTERS)
+    wants = [("all", F.lit("")), *zip(three, map(F.col, FILTERS[:3])), ("contains", asked_text)]
+    asked = r.select(*keys, "req_id", *FILTERS, axes(*wants)).select(*keys, "req_id", *FILTERS, "x.axis", "x.value").filter("value IS NOT NULL")
+    listed = listed.join(asked.select(*keys, "axis", "value").distinct(), [*keys, "axis", "value"], "left_semi")
+    n = asked.join(listed.groupBy(*keys, "axis", "value").agg(n_rows().alias("n")), [*keys, "axis", "value"], "left")
+    least = F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "axis", "value")).alias("p")
+    best = n.groupBy(*keys, "req_id", *FILTERS).agg(least).filter("p.n > 0").select(*keys, "req_id", *FILTERS, "p.axis", "p.value")
+    d = best.join(listed, [*keys, "axis", "value"]).join(nodes, [*keys, "id"]).filter(_fits() & _holds())
     return d.select(*keys, "req_id", "id", "node_type", "cls_name", text.tag_summary(F.col("tag_function"), F.col("loop_number")).alias("tag_summary"))
 
 
@@ -76,16 +120,18 @@ def get_neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame, keys=SHEET
 def count_nodes(nodes: DataFrame, requests: DataFrame, keys=SHEET) -> DataFrame:
     """Count per request (node_type NULL), and one row per node type for requests without any filter.
 
-    Nodes are counted per combination of the filter columns before they meet the requests.
+    Nodes are counted for each choice of filter columns, so a request finds its count under the columns it sets.
     """
-    keys = list(keys)
-    c = nodes.groupBy(*keys, "node_type", "cls_name", "tag_function").agg(n_rows().alias("n"))
-    r = requests.select(*keys, "req_id", *FILTERS[:3])
-    d = r.join(c, keys).filter(_fits())
-    total = r.join(d.groupBy(*keys, "req_id").agg(F.sum("n").alias("n")), [*keys, "req_id"], "left")
-    total = total.select(*keys, "req_id", F.lit(None).cast("string").alias("node_type"), F.coalesce("n", F.lit(0)).alias("n"))
-    bare = F.col("want_node_type").isNull() & F.col("want_cls_name").isNull() & F.col("want_function").isNull()
-    return total.unionByName(d.filter(bare).groupBy(*keys, "req_id", "node_type").agg(F.sum("n").alias("n")))
+    keys, three = list(keys), ["node_type", "cls_name", "tag_function"]
+    mask = lambda cs: sum((F.col(c).isNotNull().cast("int") * 2 ** i for i, c in enumerate(cs)), F.lit(0))
+    c = nodes.groupBy(*keys, *three).agg(n_rows().alias("n"))
+    c = c.select(*keys, *three, "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("mask")).filter(F.col("mask").bitwiseAND(mask(three)) == F.col("mask"))
+    pick = [F.when(F.col("mask").bitwiseAND(2 ** i) > 0, F.col(x)).otherwise("").alias(w) for i, (x, w) in enumerate(zip(three, FILTERS))]
+    c = c.select(*keys, "mask", *pick, "n").groupBy(*keys, "mask", *FILTERS[:3]).agg(F.sum("n").alias("n"))
+    r = requests.select(*keys, "req_id", mask(FILTERS[:3]).alias("mask"), *[F.coalesce(w, F.lit("")).alias(w) for w in FILTERS[:3]])
+    total = r.join(c, [*keys, "mask", *FILTERS[:3]], "left").select(*keys, "req_id", F.lit(None).cast("string").alias("node_type"), F.coalesce("n", F.lit(0)).alias("n"))
+    types = c.filter("mask = 1").select(*keys, F.col(FILTERS[0]).alias("node_type"), "n")
+    return total.unionByName(r.filter("mask = 0").select(*keys, "req_id").join(types, keys))
 
 
 def list_tags(nodes: DataFrame, keys=SHEET) -> DataFrame:
@@ -105,7 +151,8 @@ def resolve_term(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
     cls = nodes.groupBy(*keys, F.col("cls_name").alias("term")).agg(F.min("node_type").alias("cls_node_type"))
     fn = nodes.filter("length(tag_function) > 0").select(*keys, F.col("tag_function").alias("term")).distinct().withColumn("is_function", F.lit(1))
     texts = nodes.filter("raw_text is not null").groupBy(*keys, F.lower("raw_text").alias("raw")).agg(n_rows().alias("k"))
-    sub = terms.select(*keys, "term_id", F.lower("term").alias("t")).join(texts, keys).filter(F.contains("raw", "t")).groupBy(*keys, "term_id").agg(F.sum("k").alias("n_contains"))
+    t = terms.select(*keys, "term_id", F.lower("term").alias("t"))
+    sub = t.join(holding(texts, t, keys), [*keys, "t"]).join(texts, [*keys, "raw"]).groupBy(*keys, "term_id").agg(F.sum("k").alias("n_contains"))
     d = terms.join(cls, [*keys, "term"], "left").join(fn, [*keys, "term"], "left").join(sub, [*keys, "term_id"], "left")
     axis = F.when(F.col("term").isin(text.NODE_TYPES), "node_type").when(F.col("cls_node_type").isNotNull(), "cls_name")\
         .when(F.col("is_function") == 1, "tag_function").when(F.col("n_contains") > 0, "tag_contains").otherwise("unknown")
@@ -117,13 +164,12 @@ def resolve_term(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
 def term_matches(nodes: DataFrame, terms: DataFrame, keys=SHEET) -> DataFrame:
     """One row per term and node whose tag text holds the term; sort by text.id_order(id) to list them.
 
-    Distinct terms meet distinct texts of a sheet, and ids are attached afterwards.
+    Distinct terms meet distinct texts under their rarest piece, and ids are attached afterwards.
     """
     keys = list(keys)
     texts = nodes.filter("raw_text is not null").select(*keys, F.lower("raw_text").alias("raw"), "id")
     t = terms.select(*keys, F.lower("term").alias("t"), "term_id").distinct()
-    held = t.select(*keys, "t").distinct().join(texts.select(*keys, "raw").distinct(), keys).filter(F.contains("raw", "t"))
-    return t.join(held, [*keys, "t"]).join(texts, [*keys, "raw"]).select(*keys, "term_id", "id").distinct()
+    return t.join(holding(texts, t, keys), [*keys, "t"]).join(texts, [*keys, "raw"]).select(*keys, "term_id", "id").distinct()
 
 
 def expected(nodes: DataFrame, edges: DataFrame, cls_name: str, function: str, focus: str, keys=SHEET) -> DataFrame:

@@ -183,11 +183,30 @@ def close_pairs(nodes: DataFrame, frac: float = 0.5, keys=SHEET) -> DataFrame:
     return out.select(*keys, *pick("node_id"), *pick("cls_id"), *pick("node_type"))
 
 
+def close_class_counts(nodes: DataFrame, frac: float = 0.5, keys=SHEET) -> DataFrame:
+    """Counts of close pairs as `close_pair_counts` has them, without listing the pairs of copies: boxes of one class, centre and reach are
+    one spot with a number, and a pair of spots counts the product."""
+    keys = list(keys)
+    r2 = F.lit(frac * frac) * F.greatest(g.width() * g.height(), F.lit(1.0))
+    at = nodes.select(*keys, "cls_id", "node_type", g.cx().alias("px"), g.cy().alias("py"), r2.alias("r2"), F.sqrt(r2).alias("r"))
+    spots = staged(at.groupBy(*at.columns).agg(F.count(F.lit(1)).alias("times")))
+    near = g.dist2(F.col("a_px"), F.col("a_py"), F.col("b_px"), F.col("b_py")) < F.col("a_r2")
+    order = lambda p: F.struct(*[F.col(p + c) for c in ("r2", "px", "py", "cls_id", "node_type")])
+    # found from the side with the larger reach, once where both are equal
+    first = (F.col("a_r2") > F.col("b_r2")) | ((F.col("a_r2") == F.col("b_r2")) & (order("a_") < order("b_")))
+    pairs = points_in_reach(_side(spots, "a_", keys), _reach("a_"), _side(spots, "b_", keys), F.col("b_px"), F.col("b_py"), keys, near & first & (F.col("a_cls_id") != F.col("b_cls_id")))
+    return _counts(pairs.withColumn("times", F.col("a_times") * F.col("b_times")))
+
+
 def close_pair_counts(pairs: DataFrame) -> DataFrame:
     """Counts per unordered class pair with subtotals per family and a grand total."""
+    return _counts(pairs.withColumn("times", F.lit(1)))
+
+
+def _counts(pairs: DataFrame) -> DataFrame:
     both = lambda t: (F.col("a_node_type") == t) & (F.col("b_node_type") == t)
     fam = F.when(both("instrument"), "instrument").when(both("valve"), "valve").otherwise("other")
-    d = pairs.select(fam.alias("family"), F.least("a_cls_id", "b_cls_id").alias("cls_lo"), F.greatest("a_cls_id", "b_cls_id").alias("cls_hi"))
-    d = d.groupBy("family", "cls_lo", "cls_hi").agg(F.count(F.lit(1)).alias("n"))
+    d = pairs.select(fam.alias("family"), F.least("a_cls_id", "b_cls_id").alias("cls_lo"), F.greatest("a_cls_id", "b_cls_id").alias("cls_hi"), "times")
+    d = d.groupBy("family", "cls_lo", "cls_hi").agg(F.sum("times").alias("n"))
     return d.rollup("family", F.struct("cls_lo", "cls_hi").alias("pair")).agg(F.sum("n").alias("n"))\
         .select("family", "pair.cls_lo", "pair.cls_hi", "n")

@@ -394,3 +394,14 @@ def test_ten_thousand_copies_on_one_spot(spark):
     m = match.greedy_iou(d, g)
     assert m.join(d, "det_id").agg(F.count(F.lit(1)), F.countDistinct("gt_id"), F.min("conf")).first() == (6000, 6000, 0.4)
     assert m.join(d, "det_id").filter(F.round((1 - F.col("conf")) * 10_000) - 1 != F.col("gt_id")).isEmpty()
+
+
+def test_close_classes_of_a_pile_are_counted(spark):
+    """A pile of 10,000 boxes of two classes, and counts that equal those of listed pairs on random boxes."""
+    pile = spark.range(10_000).selectExpr("1L AS sheet_id", "id AS node_id", "CAST(id % 2 AS INT) AS cls_id", "'valve' AS node_type", "0D AS x1", "0D AS y1", "20D AS x2", "20D AS y2")
+    assert {(r.family, r.cls_lo, r.n) for r in suppress.close_class_counts(pile).collect()} == {("valve", 0, 25_000_000), ("valve", None, 25_000_000), (None, None, 25_000_000)}
+    rng = random.Random(8)
+    rows = [(1, i, rng.choice([0, 1, 25]), rng.choice(["valve", "instrument"]), *(float(c) for c in (x, y, x + w, y + w))) for i in range(120) for x, y, w in [(rng.randrange(12), rng.randrange(12), rng.choice([6, 10]))]]
+    d = spark.createDataFrame(rows, "sheet_id long, node_id long, cls_id int, node_type string, x1 double, y1 double, x2 double, y2 double")
+    show = lambda c: sorted(map(str, c.collect()))
+    assert show(suppress.close_class_counts(d)) == show(suppress.close_pair_counts(suppress.close_pairs(d)))
