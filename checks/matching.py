@@ -81,7 +81,7 @@ def _(v):
   WHERE {d2('a','b')}<0.25*greatest((a.x2-a.x1)*(a.y2-a.y1),(b.x2-b.x1)*(b.y2-b.y1),1)) q GROUP BY GROUPING SETS ((family,cls_lo,cls_hi),(family),())""",
        typed=f"SELECT sheet_id, node_id, cls_id, x1,y1,x2,y2, {TYPE} AS node_type FROM vertex")
 def _(v):
-    return suppress.close_pair_counts(suppress.close_pairs(v.vertex.withColumn("node_type", g.node_type())))
+    return suppress.close_class_counts(v.vertex.withColumn("node_type", g.node_type()))
 
 
 @check("j6_iou_join", f"SELECT d.sheet_id, d.det_id, g.gt_id, round({iou('d','g')},12) AS iou, round({inter('d','g')}/{box_area('d','1e-6')},12) AS frac FROM det d JOIN gt g ON g.sheet_id=d.sheet_id AND {inter('d','g')}>0 AND {iou('d','g')}>=0.3")
