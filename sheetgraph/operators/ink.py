@@ -99,17 +99,27 @@ def touching_offsets(r: int) -> dict[int, int]:
 
 
 def cluster(px: DataFrame, r: int = 3, keys=SHEET) -> DataFrame:
-    """Junction pixels with `cluster`, the id of the group whose discs touch."""
+    """Junction pixels with `cluster`, the id of the group whose discs touch.
+
+    Pixels side by side in a row always touch, so whole runs of them are joined: two runs touch where the gap between them is within
+    the reach of their row distance.
+    """
     keys = list(keys)
     reach = touching_offsets(r)
-    far = max(reach)
-    d = staged(px.select(*keys, "x", "y", (F.col("y").cast("bigint") * (1 << 32) + F.col("x")).alias("pid")))
-    a, b = prefixed(d, "a_", keys), prefixed(d, "b_", keys)
-    close = F.abs(F.col("a_x") - F.col("b_x")) <= P.lookup(reach, F.abs(F.col("a_y") - F.col("b_y")), F.lit(-1))
-    box = [F.col("a_x") - far, F.col("a_y") - far, F.col("a_x") + far, F.col("a_y") + far]
-    pairs = points_in_reach(a, box, b, F.col("b_x"), F.col("b_y"), keys, close & (F.col("a_pid") < F.col("b_pid")), 2 * far)
-    comp = components(d, pairs.select(*keys, F.col("a_pid").alias("u"), F.col("b_pid").alias("v")), keys, "pid")
-    return d.join(comp, [*keys, "pid"]).select(*keys, "x", "y", F.col("comp").alias("cluster"))
+    far = max(reach[0], max(reach))
+    row = Window.partitionBy(*keys, "y").orderBy("x")
+    start = F.when(F.coalesce(F.col("x") - F.lag("x").over(row) > 1, F.lit(True)), F.col("x"))
+    d = px.select(*keys, "x", "y", start.alias("start"))
+    d = staged(d.select(*keys, "x", "y", F.last("start", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)).alias("x0")))
+    rid = (F.col("y").cast("bigint") * (1 << 32) + F.col("x0")).alias("rid")
+    runs = staged(d.groupBy(*keys, "y", "x0").agg(F.max("x").alias("x1")).select(*keys, "y", "x0", "x1", rid))
+    a, b = prefixed(runs, "a_", keys), prefixed(runs, "b_", keys)
+    gap = F.greatest(F.col("b_x0") - F.col("a_x1"), F.col("a_x0") - F.col("b_x1"), F.lit(0))
+    close = gap <= P.lookup(reach, F.abs(F.col("a_y") - F.col("b_y")), F.lit(-1))
+    around = [F.col("a_x0") - far, F.col("a_y") - far, F.col("a_x1") + far, F.col("a_y") + far]
+    pairs = boxes_meeting(a, around, b, [F.col("b_x0"), F.col("b_y"), F.col("b_x1"), F.col("b_y")], keys, close & (F.col("a_rid") < F.col("b_rid")), 4 * far)
+    comp = components(runs, pairs.select(*keys, F.col("a_rid").alias("u"), F.col("b_rid").alias("v")), keys, "rid")
+    return d.select(*keys, "x", "y", rid).join(comp, [*keys, "rid"]).select(*keys, "x", "y", F.col("comp").alias("cluster"))
 
 
 def cluster_centres(clusters: DataFrame, keys=SHEET) -> DataFrame:
