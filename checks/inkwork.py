@@ -8,6 +8,7 @@ from checks.sqlparts import TYPE, inter
 from checks.views import H, W, area, register
 from sheetgraph.functions import geometry as g
 from sheetgraph.operators import evaluate, graph, ink, junctions
+from sheetgraph.operators.stage import staged
 
 QUERIES, ORACLES, check = area()
 r6 = lambda *n: [F.round(x, 6).alias(x) for x in n]
@@ -70,7 +71,6 @@ CLU = dict(NB, jp="SELECT sheet_id, x, y, CAST(y AS BIGINT)*4294967296+x AS pid
 
 
 def clusters(v):
-    from sheetgraph.operators.stage import staged
     return staged(ink.cluster(ink.junction_pixels(v.ink)))
 
 
@@ -169,20 +169,20 @@ def _(v):
 
 @check("l14_interposition", "SELECT sheet_id, a_id, b_id FROM dp", **GAP)
 def _(v):
-    n = v.inode
+    n = staged(v.inode)  # nodes are a table of the graph, read several times
     return ink.drop_interposed(ink.gap_pairs(n), n).select("sheet_id", "a_id", "b_id")
 
 
 @check("l15_corridor", "SELECT sheet_id, a_id, b_id, CAST(n_ink AS BIGINT) AS n_ink, CAST(n_corr AS BIGINT) AS n_corr, round(extent,6) AS extent, CAST(bins AS INT) AS bins, CAST(n_wider AS BIGINT) AS n_wider FROM cor WHERE NOT touch", **GAP, **region(MARGIN, "dilated"))
 def _(v):
-    n = v.inode
+    n = staged(v.inode)  # nodes are a table of the graph, read several times
     p = ink.gap_pairs(n).filter(~ink.touching())
     return ink.corridor(p, v.ink, n, W, H).select("sheet_id", "a_id", "b_id", "n_ink", "n_corr", *r6("extent"), "bins", "n_wider")
 
 
 @check("l16_touch_ink", "SELECT sheet_id, a_id, b_id FROM ok WHERE touch", **GAP, **region(MARGIN, "dilated"))
 def _(v):
-    n = v.inode
+    n = staged(v.inode)  # nodes are a table of the graph, read several times
     return ink.with_ink(ink.gap_pairs(n).filter(ink.touching()), v.ink, n, W, H).select("sheet_id", "a_id", "b_id")
 
 
@@ -214,7 +214,7 @@ def _(v):
 
 @check("l25_corridor_diagnosis", "SELECT sheet_id, a_id, b_id, CAST(n_corr AS BIGINT) AS n_corr, round(CASE WHEN seg<1 OR extent<2 THEN 1 ELSE bins/n_bins END,6) AS continuity, round(third_share,6) AS third_share FROM cor WHERE n_corr>0", **GAP, **region("2", "original"))
 def _(v):
-    n = v.inode
+    n = staged(v.inode)  # nodes are a table of the graph, read several times
     d = ink.corridor(ink.gap_pairs(n), v.ink, n, W, H, mask_third=False, touch_margin=2).filter("n_corr > 0")
     cont = F.when((F.col("seg") < 1) | (F.col("extent") < 2), 1.0).otherwise(F.col("bins") / F.col("n_bins"))
     return d.select("sheet_id", "a_id", "b_id", "n_corr", F.round(cont, 6).alias("continuity"), *r6("third_share"))
@@ -222,7 +222,7 @@ def _(v):
 
 @check("g16_edge_mechanism", "SELECT p.sheet_id, p.a_id, p.b_id, CASE WHEN p.a_id%4=0 THEN 'contracted:connector' WHEN p.a_id%4=1 THEN 'skeleton_branch' WHEN p.touch THEN 'bbox_touch' WHEN third_share>=0.5 THEN 'third_node_ink' ELSE 'short_gap' END AS mechanism FROM gp p LEFT JOIN cor ON cor.sheet_id=p.sheet_id AND cor.a_id=p.a_id AND cor.b_id=p.b_id", **GAP, **region("2", "original"))
 def _(v):
-    n = v.inode
+    n = staged(v.inode)  # nodes are a table of the graph, read several times
     p = ink.gap_pairs(n)
     d = ink.corridor(p, v.ink, n, W, H, mask_third=False, touch_margin=2).select("sheet_id", "a_id", "b_id", "third_share")
     m = evaluate.mechanism(F.when(F.col("a_id") % 4 == 0, "connector"), F.col("a_id") % 4 >= 2, ink.touching(), F.coalesce("third_share", F.lit(0.0)))
@@ -236,7 +236,6 @@ BAT = dict(CLU, be=BIND["be"], bat="""SELECT sheet_id, cluster, branch_id, max(w
 
 
 def at_clusters(v):
-    from sheetgraph.operators.stage import staged
     c = clusters(v)
     centres = ink.cluster_centres(c)
     return staged(junctions.branches_at(centres, c, v.branch)), centres

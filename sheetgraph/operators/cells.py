@@ -49,12 +49,32 @@ def points_in_reach(boxes: DataFrame, box: list[Column], points: DataFrame, x: C
     return _drop(left.join(right, cond), keys)
 
 
+def cells_in_reach(boxes: DataFrame, box: list[Column], points: DataFrame, keys, residual: Column | None = None, cell: float = CELL) -> DataFrame:
+    """`points_in_reach` for points that carry their cell already, so that rows placed by cell once are not moved again."""
+    left = over_cells(boxes, *box, cell)
+    right, cond = _on(left, points, keys, residual)
+    return _drop(left.join(right, cond), keys)
+
+
+def with_boxes(points: DataFrame, boxes: DataFrame, box: list[Column], keys, residual: Column, cell: float = CELL) -> DataFrame:
+    """Points that carry their cell, once per box satisfying the predicate and once without box columns where there is none."""
+    right, cond = _on(points, over_cells(boxes, *box, cell), keys, residual)
+    return points.join(right, cond, "left").drop(*["__r_" + k for k in [*keys, GX, GY]])
+
+
 def filter_points(points: DataFrame, x: Column, y: Column, boxes: DataFrame, box: list[Column], keys,
-                  residual: Column, keep: str = "left_anti", cell: float = CELL) -> DataFrame:
-    """Points with (`left_semi`) or without (`left_anti`) a box satisfying the predicate."""
+                  residual: Column, keep: str = "left_anti", cell: float = CELL, keep_cell: bool = False) -> DataFrame:
+    """Points with (`left_semi`) or without (`left_anti`) a box satisfying the predicate; with keep_cell they carry their cell from then on."""
     left = at_cell(points, x, y, cell)
     right, cond = _on(left, over_cells(boxes, *box, cell), keys, residual)
-    return left.join(right, cond, keep).drop(GX, GY)
+    out = left.join(right, cond, keep)
+    return out if keep_cell else out.drop(GX, GY)
+
+
+def cells_with(rows: DataFrame, points: DataFrame, keys, residual: Column) -> DataFrame:
+    """Rows over cells with at least one point of their cell satisfying the predicate; a row of several cells may come several times."""
+    right, cond = _on(rows, points, keys, residual)
+    return rows.join(right, cond, "left_semi").drop(GX, GY)
 
 
 def boxes_meeting(a: DataFrame, abox: list[Column], b: DataFrame, bbox: list[Column], keys,

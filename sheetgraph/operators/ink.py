@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g, polyline
-from sheetgraph.operators.cells import boxes_meeting, filter_points, points_in_reach, prefixed
+from sheetgraph.operators.cells import GX, GY, at_cell, boxes_meeting, cells_in_reach, cells_with, filter_points, over_cells, points_in_reach, prefixed, with_boxes
 from sheetgraph.operators.components import components
 from sheetgraph.operators.stage import staged
 from sheetgraph.operators.suppress import SHEET
@@ -247,18 +247,19 @@ def drop_interposed(pairs: DataFrame, nodes: DataFrame, tol: float = 20.0, keys=
     return pairs.join(hit.select(*keys, *PAIR).distinct(), [*keys, *PAIR], "left_anti")
 
 
-def covered(ink: DataFrame, nodes: DataFrame, box=DIL, keys=SHEET) -> DataFrame:
-    """Ink with how many node boxes hold each pixel and the lowest and highest of their ids.
+def covered(px: DataFrame, nodes: DataFrame, box=DIL, keys=SHEET) -> DataFrame:
+    """Pixels with how many node boxes hold each and the lowest and highest of their ids.
 
-    That is enough to tell whether a node other than two given ones covers the pixel, without listing nodes per pair.
+    That is enough to tell whether a node other than two given ones covers the pixel, without listing nodes per pair. Equal boxes
+    are one row with a number.
     """
-    keys = list(keys)
-    b = nodes.select(*keys, F.col("node_id").alias("cov"), *[F.col(c).cast("int").alias("m" + c) for c in box])
-    m = cols(["m" + c for c in box])
-    inside = (F.col("x") >= m[0]) & (F.col("x") < m[2]) & (F.col("y") >= m[1]) & (F.col("y") < m[3])
-    hit = points_in_reach(b, m, ink, F.col("x"), F.col("y"), keys, inside)
-    per = hit.groupBy(*keys, "x", "y").agg(n_rows().alias("n_cov"), F.min("cov").alias("cov_lo"), F.max("cov").alias("cov_hi"))
-    return ink.join(per, [*keys, "x", "y"], "left")
+    keys, m = list(keys), ["m" + c for c in box]
+    b = nodes.select(*keys, "node_id", *[F.col(c).cast("int").alias("m" + c) for c in box])
+    b = b.groupBy(*keys, *m).agg(n_rows().alias("times"), F.min("node_id").alias("lo_id"), F.max("node_id").alias("hi_id"))
+    x1, y1, x2, y2 = cols(m)
+    inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
+    return with_boxes(px, b, cols(m), keys, inside).groupBy(*keys, GX, GY, "x", "y").agg(
+        F.sum("times").alias("n_cov"), F.min("lo_id").alias("cov_lo"), F.max("hi_id").alias("cov_hi"))
 
 
 def in_third() -> Column:
@@ -271,45 +272,81 @@ def touching() -> Column:
     return (gx == 0) & (gy == 0)
 
 
-def pair_ink(pairs: DataFrame, ink: DataFrame, img_w: int, img_h: int, margin: Column, keys=SHEET) -> DataFrame:
-    """Ink in the region around each pair, outside both original boxes."""
-    i = lambda c: F.col(c).cast("int")
+REGION = ["rx1", "ry1", "rx2", "ry2"]
+
+
+def regions(pairs: DataFrame, img_w: int, img_h: int, margin: Column) -> DataFrame:
+    """Pairs with the part of the sheet around both boxes."""
     lo = lambda c: F.greatest(F.lit(0), F.least("a_" + c, "b_" + c).cast("int") - margin)
     hi = lambda c, m: F.least(F.lit(m), F.greatest("a_" + c, "b_" + c).cast("int") + margin)
-    p = pairs.withColumns({"rx1": lo("x1"), "ry1": lo("y1"), "rx2": hi("x2", img_w), "ry2": hi("y2", img_h)})
+    return pairs.withColumns({"rx1": lo("x1"), "ry1": lo("y1"), "rx2": hi("x2", img_w), "ry2": hi("y2", img_h)})
+
+
+def _in_region() -> Column:
+    """Whether the pixel lies in the region of the pair and outside both its boxes."""
+    i = lambda c: F.col(c).cast("int")
     own = lambda n: (F.col("x") >= i(n + "_x1")) & (F.col("x") < i(n + "_x2")) & (F.col("y") >= i(n + "_y1")) & (F.col("y") < i(n + "_y2"))
     inside = (F.col("x") >= F.col("rx1")) & (F.col("x") < F.col("rx2")) & (F.col("y") >= F.col("ry1")) & (F.col("y") < F.col("ry2"))
-    return points_in_reach(p, cols(["rx1", "ry1", "rx2", "ry2"]), ink, F.col("x"), F.col("y"), list(keys), inside & ~own("a") & ~own("b"))
+    return inside & ~own("a") & ~own("b")
+
+
+def near_pixels(areas: DataFrame, ink: DataFrame, keys=SHEET) -> DataFrame:
+    """Distinct pixels some pair (of `regions`) looks at, with their cells. Ink moves once, by cell; all the rest stays in the sheet outside."""
+    keys = list(keys)
+    d = filter_points(ink.select(*keys, "x", "y"), F.col("x"), F.col("y"), areas, cols(REGION), keys, _in_region(), "left_semi", keep_cell=True)
+    return d.distinct()
+
+
+def pair_ink(areas: DataFrame, px: DataFrame, keys=SHEET) -> DataFrame:
+    """Each pair (of `regions`) with the pixels (of `near_pixels`) it looks at."""
+    return cells_in_reach(areas, cols(REGION), px, list(keys), _in_region())
 
 
 def corridor(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img_h: int, half: float = 10.0, mask_third: bool = True,
-             touch_margin: int = 10, keys=SHEET) -> DataFrame:
+             touch_margin: int = 10, keys=SHEET, third: bool = True) -> DataFrame:
     """What the ink says about each pair: n_ink, n_corr, extent, bins, n_bins, n_wider and the share inside third nodes.
 
-    Touching pairs look at a wider margin; for them only n_ink matters. With mask_third, ink under other nodes is left out.
+    Touching pairs look at a wider margin; for them only n_ink matters. With mask_third, ink under other nodes is left out; with
+    neither that nor `third` the boxes of other nodes are not looked at and the share is NULL.
+
+    Ink is cut to the regions of the pairs first. What is left meets the pairs by cell twice: for the two ends of each stripe, then for
+    its bins, kept as bits of 64 bins a word. Both times rows are added up before they leave the cell, so no list or window of a
+    pair's pixels exists.
     """
     keys = list(keys)
-    others = nodes.filter("node_type <> 'flow_arrow'")
-    px = covered(ink, others, DIL if mask_third else P.BOX, keys)
-    margin = F.when(touching(), touch_margin).otherwise(2)
-    d = pair_ink(pairs, px, img_w, img_h, margin, keys).withColumn("third", in_third())
-    if mask_third:
-        d = d.filter(~F.col("third"))
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     size = F.sqrt(dx * dx + dy * dy)
-    d = d.withColumns({"seg": size}).withColumns({"ux": F.when(size >= 1, dx / size).otherwise(1.0), "uy": F.when(size >= 1, dy / size).otherwise(0.0)})
-    ox, oy = F.col("x") - F.col("a_cx"), F.col("y") - F.col("a_cy")
-    d = d.withColumns({"along": ox * F.col("ux") + oy * F.col("uy"), "off": F.abs(oy * F.col("ux") - ox * F.col("uy"))})
+    narrow = [*keys, *PAIR, *[n + "_" + c for n in "ab" for c in [*P.BOX, "cx", "cy"]]]
+    margin = F.when(touching(), touch_margin).otherwise(2)
+    # pairs and their pixels are read twice below
+    lines = staged(regions(pairs.select(*narrow).withColumn("seg", size), img_w, img_h, margin))
+    px = near_pixels(lines, ink, keys)
+    if mask_third or third:
+        px = covered(px, nodes.filter("node_type <> 'flow_arrow'"), DIL if mask_third else P.BOX, keys)
+    px = staged(px)
+    seg, ox, oy = F.col("seg"), F.col("x") - F.col("a_cx"), F.col("y") - F.col("a_cy")
+    ux, uy = F.when(seg >= 1, dx / seg).otherwise(1.0), F.when(seg >= 1, dy / seg).otherwise(0.0)
+
+    def placed(lines):
+        d = pair_ink(lines, px, keys)
+        d = d.withColumn("third", in_third() if mask_third or third else F.lit(None).cast("boolean"))
+        d = d.filter(~F.col("third")) if mask_third else d
+        return d.withColumns({"along": ox * ux + oy * uy, "off": F.abs(oy * ux - ox * uy)})
+
     core = F.col("off") <= half
-    # one pair sees the pixels of its own small region
-    w = Window.partitionBy(*keys, *PAIR)
-    d = d.withColumns({"lo": F.min(F.when(core, F.col("along"))).over(w), "hi": F.max(F.when(core, F.col("along"))).over(w)})
-    ranged = (F.col("along") >= F.col("lo")) & (F.col("along") <= F.col("hi"))
+    ends = placed(lines).groupBy(*keys, *PAIR).agg(
+        n_rows().alias("n_ink"), F.max("seg").alias("seg"), F.count_if(core).alias("n_corr"), F.min(F.when(core, F.col("along"))).alias("lo"),
+        F.max(F.when(core, F.col("along"))).alias("hi"), F.avg(F.when(core, F.col("third").cast("double"))).alias("third_share"))
+    ends = staged(ends)
+    striped = lines.join(ends.filter("n_corr > 0").select(*keys, *PAIR, "lo", "hi"), [*keys, *PAIR])
+    d = placed(striped).filter((F.col("off") <= half * 3) & F.col("along").between(F.col("lo"), F.col("hi")))
     bin_ = F.floor((F.col("along") - F.col("lo")) / 2)
-    out = d.groupBy(*keys, *PAIR).agg(
-        n_rows().alias("n_ink"), F.max("seg").alias("seg"), F.count_if(core).alias("n_corr"), F.max(F.col("hi") - F.col("lo")).alias("extent"),
-        F.size(F.collect_set(F.when(core, bin_))).alias("bins"),
-        F.count_if(~core & (F.col("off") <= half * 3) & ranged).alias("n_wider"), F.avg(F.when(core, F.col("third").cast("double"))).alias("third_share"))
+    # one in two's complement, so that the last bit of a word is a bit like the others
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (bin_ % 64).cast("int"))
+    words = d.groupBy(*keys, *PAIR, F.when(core, F.floor(bin_ / 64)).alias("word")).agg(F.bit_or(F.when(core, bit)).alias("word_bits"), F.count_if(~core).alias("wider"))
+    bins = words.groupBy(*keys, *PAIR).agg(F.sum(F.bit_count("word_bits")).cast("int").alias("bins"), F.sum("wider").alias("n_wider"))
+    extent = F.col("hi") - F.col("lo")
+    out = ends.join(bins, [*keys, *PAIR], "left").withColumns({"extent": extent, "bins": F.coalesce("bins", F.lit(0)), "n_wider": F.coalesce("n_wider", F.lit(0))}).drop("lo", "hi")
     return out.withColumn("n_bins", F.greatest(F.lit(1), F.floor(F.col("extent") / 2)))
 
 
@@ -326,7 +363,7 @@ def with_ink(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img
     keys = list(keys)
 
     def passing(d, mask):
-        e = corridor(d, ink, nodes, img_w, img_h, p.corridor_half_width_px, mask, p.touch_margin_px, keys)
+        e = corridor(d, ink, nodes, img_w, img_h, p.corridor_half_width_px, mask, p.touch_margin_px, keys, third=False)
         d = d.join(e, [*keys, *PAIR]).withColumn("touch", touching())
         ok = F.when(F.col("touch"), F.col("n_ink") > 0).otherwise(corridor_ok(p.corridor_continuity_frac, p.corridor_perp_reject_ratio))
         return d.filter(ok).select(*keys, *PAIR)
@@ -339,7 +376,9 @@ def with_ink(pairs: DataFrame, ink: DataFrame, nodes: DataFrame, img_w: int, img
 
 def any_path(pairs: DataFrame, ink: DataFrame, img_w: int, img_h: int, keys=SHEET) -> DataFrame:
     """Pairs whose boxes touch, or with any ink between them."""
-    hit = pair_ink(pairs.filter(~touching()), ink, img_w, img_h, F.lit(2), keys).select(*keys, *PAIR).distinct()
+    # a pair needs one pixel only, so pairs are filtered by ink and not listed with it
+    areas = over_cells(regions(pairs.filter(~touching()), img_w, img_h, F.lit(2)), *cols(REGION))
+    hit = cells_with(areas, at_cell(ink.select(*keys, "x", "y"), F.col("x"), F.col("y")), keys, _in_region()).select(*keys, *PAIR).distinct()
     apart = pairs.filter(~touching()).join(hit, [*keys, *PAIR], "left_semi")
     return pairs.filter(touching()).unionByName(apart)
 

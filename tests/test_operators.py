@@ -423,3 +423,51 @@ def test_clusters_of_runs_equal_clusters_of_pixels(spark):
     for r in ink.cluster(spark.createDataFrame([(1, *p) for p in px], "sheet_id long, x long, y long")).collect():
         got.setdefault(r.cluster, set()).add((r.x, r.y))
     assert {frozenset(g) for g in got.values()} == want and all(c == min(y * 2**32 + x for x, y in g) for c, g in got.items())
+
+
+@pytest.mark.parametrize("mask", [True, False])
+def test_corridor_equals_plain_code(spark, mask):
+    rng = random.Random(11)
+    W, H = 900, 600
+    nodes = []
+    for i in range(14):
+        x, y, w, h = rng.randint(0, 800), rng.randint(0, 500), rng.randint(8, 60), rng.randint(8, 60)
+        nodes.append((1, i, "flow_arrow" if i % 5 == 4 else "valve", float(x), float(y), float(x + w), float(y + h), x - 3, y - 3, x + w + 3, y + h + 3))
+    # a straight line over more than two words of bins, and a pile of equal boxes on it
+    nodes += [(1, 20, "valve", 20.0, 550.0, 40.0, 570.0, 17, 547, 43, 573), (1, 21, "valve", 420.0, 550.0, 440.0, 570.0, 417, 547, 443, 573)]
+    nodes += [(1, 30 + i, "valve", 200.0, 552.0, 220.0, 568.0, 197, 549, 223, 571) for i in range(5)]
+    ink_rows = {(rng.randint(0, W - 1), rng.randint(0, H - 1)) for _ in range(6000)} | {(x, 560) for x in range(20, 440)}
+    cols = ["sheet_id", "node_id", "node_type", "x1", "y1", "x2", "y2", "dx1", "dy1", "dx2", "dy2"]
+    n = spark.createDataFrame(nodes, cols)
+    px = spark.createDataFrame([(1, x, y) for x, y in ink_rows] + [(1, 25, 560)], ["sheet_id", "x", "y"])
+    pairs = ink.gap_pairs(n, 400.0)
+    got = {(r.a_id, r.b_id): r for r in ink.corridor(pairs, px, n, W, H, mask_third=mask).collect()}
+    by_id = {r[1]: r for r in nodes}
+    want = {}
+    for p in pairs.collect():
+        a, b = by_id[p.a_id], by_id[p.b_id]
+        gap = lambda lo, hi: max(0, a[lo] - b[hi], b[lo] - a[hi])
+        m = 10 if gap(3, 5) == 0 and gap(4, 6) == 0 else 2
+        rx1, ry1, rx2, ry2 = max(0, min(a[3], b[3]) - m), max(0, min(a[4], b[4]) - m), min(W, max(a[5], b[5]) + m), min(H, max(a[6], b[6]) + m)
+        ca, cb = ((a[3] + a[5]) / 2, (a[4] + a[6]) / 2), ((b[3] + b[5]) / 2, (b[4] + b[6]) / 2)
+        dx, dy = cb[0] - ca[0], cb[1] - ca[1]
+        size = math.sqrt(dx * dx + dy * dy)
+        ux, uy = (dx / size, dy / size) if size >= 1 else (1.0, 0.0)
+        third = [r[7:11] if mask else r[3:7] for r in nodes if r[2] != "flow_arrow" and r[1] not in (a[1], b[1])]
+        seen = []
+        for x, y in ink_rows:
+            if not (rx1 <= x < rx2 and ry1 <= y < ry2) or any(q[3] <= x < q[5] and q[4] <= y < q[6] for q in (a, b)):
+                continue
+            inside = any(t[0] <= x < t[2] and t[1] <= y < t[3] for t in third)
+            if not (mask and inside):
+                ox, oy = x - ca[0], y - ca[1]
+                seen.append((ox * ux + oy * uy, abs(oy * ux - ox * uy), inside))
+        if not seen:
+            continue
+        core = [s for s in seen if s[1] <= 10]
+        lo, hi = (min(s[0] for s in core), max(s[0] for s in core)) if core else (None, None)
+        bins = {math.floor((s[0] - lo) / 2) for s in core}
+        wider = sum(1 for s in seen if core and 10 < s[1] <= 30 and lo <= s[0] <= hi)
+        want[p.a_id, p.b_id] = (len(seen), len(core), len(bins), wider, sum(s[2] for s in core) / len(core) if core else None)
+    assert {k: (r.n_ink, r.n_corr, r.bins, r.n_wider, r.third_share) for k, r in got.items()} == want
+    assert len(want) > 60 and max(w[2] for w in want.values()) > 128
