@@ -21,7 +21,7 @@ def r6(*names):
 def ap_sql(pred: str, by: str) -> dict[str, str]:
     """AP row by row: `pred` has the keys, conf, det_id and tp."""
     return {
-        "curve": f"SELECT *, sum(tp) OVER w AS ctp, row_number() OVER w AS rn FROM {pred} WINDOW w AS (PARTITION BY {by} ORDER BY conf DESC, tp DESC, det_id)",
+        "curve": f"SELECT *, sum(tp) OVER w AS ctp, row_number() OVER w AS rn FROM {pred} WINDOW w AS (PARTITION BY {by} ORDER BY conf DESC, det_id)",
         "envelope": f"SELECT *, max(CAST(ctp AS DOUBLE)/rn) OVER (PARTITION BY {by} ORDER BY rn DESC ROWS UNBOUNDED PRECEDING) AS env FROM curve",
         "area_t": f"SELECT {by}, sum(CASE WHEN tp=1 THEN env ELSE 0 END) AS area, CAST(sum(tp) AS BIGINT) AS n_tp, CAST(count(*) AS BIGINT) AS n_pred FROM envelope GROUP BY {by}",
     }

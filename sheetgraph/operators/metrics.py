@@ -8,7 +8,8 @@ from sheetgraph.functions.geometry import n_rows
 from sheetgraph import params as P
 from sheetgraph.functions import geometry as g
 from sheetgraph.operators.match import greedy_center, greedy_iou
-from sheetgraph.operators.ranking import best_from_here, quantiles, running
+from sheetgraph.operators.ranking import best_from_here, quantiles, running, sliced
+from sheetgraph.operators.stage import staged
 from sheetgraph.operators.suppress import SHEET
 
 
@@ -18,14 +19,14 @@ def flagged(d: DataFrame, matches: DataFrame, keys=("sheet_id", "cls")) -> DataF
     return d.join(m, [*keys, "det_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
 
 
-def ap(scored: DataFrame, n_gt: DataFrame, by=("cls",)) -> DataFrame:
+def ap(scored: DataFrame, n_gt: DataFrame, by=("cls",), tie=("det_id", *SHEET)) -> DataFrame:
     """Average precision under the falling precision envelope, per `by`.
 
-    scored: one row per detection with conf and tp (0/1); n_gt: ground-truth count per `by`. Without ground truth the
-    result is NULL, without detections 0. Detections of equal confidence count true ones first, which is one of the orders a
-    stable sort allows; the curve then depends on counts per confidence only, so rows are added up before any ordering.
+    scored: one row per detection with conf, tp (0/1) and the `tie` columns, in whose order detections of equal confidence count;
+    n_gt: ground-truth count per `by`. Without ground truth the result is NULL, without detections 0. Detections are added up per
+    confidence before any ordering; only confidences shared by true and false ones are ordered row by row.
     """
-    return _ap_counts(scored.select(*by, "conf", "tp", F.lit(1).alias("one")), n_gt, list(by))
+    return _ap_steps(scored.select(*by, "conf", F.struct(*tie).alias("tie"), "tp", F.lit(1).alias("one")), n_gt, list(by))
 
 
 def gt_counts(gt: DataFrame, by=("cls",)) -> DataFrame:
@@ -36,22 +37,32 @@ def ap_at(d: DataFrame, gt: DataFrame, thresholds, keys=SHEET, cls="cls") -> Dat
     """AP per class and IoU threshold; all thresholds are matched in one pass."""
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr")
     m = greedy_iou(d, gt, list(thresholds), keys, cls)
-    all_d = d.select(*keys, cls, "det_id", "conf", thr)
-    # only tp/fp counts per confidence are needed, so unmatched = all - matched at count level
-    hits = m.join(d.select(*keys, cls, "det_id", "conf"), [*keys, cls, "det_id"]).select(cls, "thr", "conf", F.lit(1).alias("tp"), F.lit(0).alias("one"))
-    rows = all_d.select(cls, "thr", "conf", F.lit(0).alias("tp"), F.lit(1).alias("one")).unionByName(hits)
+    tie = F.struct("det_id", *keys).alias("tie")
+    # a match adds to its detection's row below, so detections and matches are not joined per threshold
+    hits = m.join(d.select(*keys, cls, "det_id", "conf"), [*keys, cls, "det_id"]).select(cls, "thr", "conf", tie, F.lit(1).alias("tp"), F.lit(0).alias("one"))
+    rows = d.select(cls, thr, "conf", tie, F.lit(0).alias("tp"), F.lit(1).alias("one")).unionByName(hits)
     counts = gt_counts(gt, (cls,)).select(cls, "n_gt", thr)
-    return _ap_counts(rows, counts, [cls, "thr"])
+    return _ap_steps(rows, counts, [cls, "thr"])
 
 
-def _ap_counts(rows: DataFrame, n_gt: DataFrame, by: list[str]) -> DataFrame:
-    """The curve from rows that add `tp` true and `one` detections at their confidence."""
-    steps = rows.groupBy(*by, "conf").agg(F.sum("tp").alias("t"), F.sum("one").alias("n"))
-    down, bucket = [F.desc("conf")], F.floor(F.col("conf") * -4096)
-    curve = running(steps, by, bucket, down, {"tp_sum": F.col("t"), "n_sum": F.col("n")})
-    # precision right after the true detections of a confidence, the highest point of that step
-    curve = curve.withColumn("precision", F.when(F.col("t") > 0, F.col("tp_sum") / (F.col("n_sum") - F.col("n") + F.col("t"))))
-    curve = best_from_here(curve, by, bucket, down, F.col("precision"), "envelope")
+def _ap_steps(rows: DataFrame, n_gt: DataFrame, by: list[str]) -> DataFrame:
+    """The curve from rows that add `tp` true and `one` detections at their confidence and place in its tie.
+
+    A confidence of only true or only false detections is one step of the curve, since within it the order says nothing. The others
+    are steps of one detection each.
+    """
+    sums = [F.sum("tp").alias("t"), F.sum("one").alias("n")]
+    per_conf = staged(rows.groupBy(*by, "conf").agg(*sums))
+    mixed = (F.col("t") > 0) & (F.col("t") < F.col("n"))
+    same = [F.col(c).eqNullSafe(F.col("m_" + c)) for c in [*by, "conf"]]
+    apart = rows.join(per_conf.filter(mixed).select(*[F.col(c).alias("m_" + c) for c in [*by, "conf"]]), same, "left_semi")
+    steps = per_conf.filter(~mixed).unionByName(apart.groupBy(*by, "conf", "tie").agg(*sums), allowMissingColumns=True)
+    down = [F.desc("conf"), F.asc("tie")]
+    steps = sliced(steps, by, down)
+    curve = running(steps, by, F.col("slice"), down, {"tp_sum": F.col("t"), "n_sum": F.col("n")})
+    # precision right after the true detections of a step, its highest point
+    curve = curve.withColumn("precision", F.when(F.col("t") > 0, F.col("tp_sum") / F.col("n_sum")))
+    curve = best_from_here(curve, by, F.col("slice"), down, F.col("precision"), "envelope")
     area = curve.groupBy(*by).agg(F.sum(F.col("t") * F.col("envelope")).alias("area"), F.sum("t").alias("n_tp"), F.sum("n").alias("n_pred"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     value = F.when(zero("n_gt") > 0, F.coalesce(F.col("area"), F.lit(0.0)) / F.col("n_gt"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sheetgraph.operators.stage import staged
+
 B = "__bucket"
 
 
@@ -42,6 +44,15 @@ def best_from_here(df: DataFrame, keys, bucket: Column, order: list[Column], val
     return d.withColumn(name, F.greatest("__here", "__later")).drop(B, "__v", "__here", "__later")
 
 
+def sliced(df: DataFrame, by, order: list[Column]) -> DataFrame:
+    """The rows as a table with `slice`, a bucket for the functions above for any order, text included: sampled ranges of the whole order.
+
+    A key or a tie with many rows spans several slices as long as its rows differ in `order`.
+    """
+    d = df.repartitionByRange(*[F.col(k) for k in by], *order).withColumn("slice", F.spark_partition_id())
+    return staged(d)
+
+
 def value_bucket(v: Column) -> Column:
     """A coarse non-decreasing function of any double, fine around the sizes found on drawings."""
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256).cast("bigint")

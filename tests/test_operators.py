@@ -241,11 +241,31 @@ def test_crossing_passes_declared_branches_only(spark):
 
 
 def test_average_precision_by_hand(spark):
-    rows = [(0, 0.9, 1), (0, 0.8, 0), (0, 0.7, 1), (0, 0.7, 0), (0, 0.5, 1), (1, 0.9, 1), (1, 0.8, 1)]
-    gt = spark.createDataFrame([(0, 4), (1, 2), (2, 3)], "cls int, n_gt long")
-    got = {r.cls: r.ap for r in metrics.ap(spark.createDataFrame(rows, "cls int, conf double, tp int"), gt).collect()}
+    rows = [(0, "a", 0.9, 1), (0, "b", 0.8, 0), (0, "c", 0.7, 1), (0, "d", 0.7, 0), (0, "e", 0.5, 1), (1, "a", 0.9, 1), (1, "b", 0.8, 1),
+            (3, "a", 0.9, 1), (3, "b", 0.8, 0), (3, "d", 0.7, 1), (3, "c", 0.7, 0), (3, "e", 0.5, 1)]
+    gt = spark.createDataFrame([(0, 4), (1, 2), (2, 3), (3, 4)], "cls int, n_gt long")
+    got = {r.cls: r.ap for r in metrics.ap(spark.createDataFrame(rows, "cls int, det_id string, conf double, tp int"), gt, tie=("det_id",)).collect()}
     assert got[1] == 1.0 and got[2] == 0.0  # a perfect predictor; no detections
     assert got[0] == pytest.approx((1.0 + 2 / 3 + 3 / 5) / 4)
+    assert got[3] == pytest.approx((1.0 + 3 / 5 + 3 / 5) / 4)  # of equal confidences the smaller id counts first, true or not
+
+
+def test_average_precision_of_many_ties_equals_the_walk(spark):
+    rng = random.Random(17)
+    rows = [(c, f"d{i:04d}", rng.choice([0.3, 0.5, 0.5, 0.5, 0.9]) if c else 0.5, int(rng.random() < 0.4)) for c in (0, 1) for i in range(700)]
+    rng.shuffle(rows)
+    gt = spark.createDataFrame([(0, 400), (1, 500)], "cls int, n_gt long")
+    got = {r.cls: r.ap for r in metrics.ap(spark.createDataFrame(rows, "cls int, det_id string, conf double, tp int"), gt, tie=("det_id",)).collect()}
+    for c, n in ((0, 400), (1, 500)):
+        tp, precision = 0, []
+        for k, r in enumerate(sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], r[1])), 1):
+            tp += r[3]
+            precision.append((r[3], tp / k))
+        area, best = 0.0, 0.0
+        for hit, p in reversed(precision):
+            best = max(best, p)
+            area += hit * best
+        assert got[c] == pytest.approx(area / n)
 
 
 def test_quantiles_both_rules(spark):
